@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies.
 
-Every record names at most one parent, so the links form trees and loops. They are resolved by weighted disjoint-set
-forests: each task compresses the links it holds (root and offset to it), the compressed links are merged with those of
-the other tasks by joins that double the length of every pointer, and what is left is compressed again, until it fits
-one bounded task. Paths follow from the same walk over an index of parents, loops removed.
+Every record names at most one parent, so the links form trees and loops. Records on loops are found first, by
+pointers of equal, doubling length until few enough are open for one task. The forest that is left is resolved by
+weighted disjoint sets: each task leads the links it holds on to the last record it knows (root, offset and the path
+between, by a walk over its index of parents), the shortened links are merged with those of the other tasks by a join
+that doubles every pointer, and what is open is led on again, until it fits one bounded task.
 
 States: ``tree``, ``dangling`` (the topmost ancestor names a parent that does not exist), ``cycle`` (on a loop),
 ``below_cycle``. Blank parents are none. Of several states of one record the latest counts; of equal times the later
@@ -75,7 +76,7 @@ def compress(paths: bool):
 def _resolve(links: DataFrame, ends: DataFrame, paths: bool, task_rows: int) -> tuple[DataFrame, DataFrame]:
     """links (id, ptr, off, seg) led on to ends (id). Returns (id, root, off, seg) and the records on loops (id).
 
-    Every join doubles the reach of all pointers, so after log2(n) rounds whatever has not come to an end goes round
+    With paths there must be no loops. Every join doubles the reach of all pointers, so after log2(n) rounds whatever has not come to an end goes round
     a loop, and its pointers lie on loops. Fewer than task_rows open links end in one task.
     """
     spark = links.sparkSession
@@ -88,7 +89,11 @@ def _resolve(links: DataFrame, ends: DataFrame, paths: bool, task_rows: int) ->
     while n:
         if rounds > total.bit_length():
             return solved, loops.unionByName(left.select(F.col("ptr").alias("id")).distinct())
-        packed = materialise(left.repartition(-(-n // task_rows), "id").mapInPandas(compress(paths), _LINKS))
+        tasks = -(-n // task_rows)
+        packed = left.withColumn("loop", F.lit(None).cast("string"))
+        # leading links on by unequal steps would move records off their loop, so loops are looked for by equal steps only
+        if paths or tasks == 1:
+            packed = materialise(left.repartition(tasks, "id").mapInPandas(compress(paths), _LINKS))
         rings = packed.where("loop is not null").select("id")
         loops = loops.unionByName(rings)
         solved = solved.unionByName(rings.select("id", F.col("id").alias("root"), F.lit(0).alias("off"), F.lit("").alias("seg")))
