@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vinculum.llm import contamination as C
 from vinculum.llm import mixing as M
+from vinculum.llm import names as W
 from vinculum.llm import near_duplicates as N
 from vinculum.llm import neighbours as V
 from vinculum.llm import splitting as S
@@ -42,6 +43,20 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.near_duplicate_groups(record_texts(spark, d, "law")).select(kind_name(), F.col("id").alias("rec_id"), "group_id", "n_copies", "n_links")
 
 
+def linked_names(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "raw_entities").select(F.col("entity_id").alias("id"), F.col("entity_type").alias("type"), F.col("entity_text").alias("name"), F.col("canonical_name").alias("canonical"))
+    return W.link_names(names)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return W.linked_pairs(linked_names(spark, d)).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its entity."""
+    return linked_names(spark, d).select(F.col("id").alias("entity_id"), "entity", "form")
+
+
 def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_embeddings").select(F.col("embedding_id").alias("id"), F.col("source_type").alias("kind"), "vector")
 
@@ -88,7 +103,7 @@ sh AS (SELECT DISTINCT rec_table, id, hash(w[i], w[i+1], w[i+2]) AS s FROM (SELE
 n AS (SELECT rec_table, id, count(*) AS n FROM sh GROUP BY ALL),
 met AS (SELECT a.rec_table, a.id AS ia, b.id AS ib, count(*) AS c FROM sh a JOIN sh b ON a.rec_table = b.rec_table AND a.s = b.s AND a.id < b.id GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_neighbours, p7_found, p7_cleaned, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_entities, p6_found, p6_neighbours, p7_found, p7_cleaned, p8_mix, p8_shares, p9_pieces)}
 
 _P6 = r"""
 v AS (SELECT DISTINCT embedding_id AS id, lower(trim(source_type, e' \t\r\n')) AS k, CAST(vector AS DOUBLE[]) AS x FROM graph_embeddings
