@@ -10,6 +10,7 @@ from vinculum.llm import mixing as M
 from vinculum.llm import names as W
 from vinculum.llm import near_duplicates as N
 from vinculum.llm import neighbours as V
+from vinculum.llm import redaction as P
 from vinculum.llm import splitting as S
 from vinculum.session import table
 
@@ -57,6 +58,15 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     return linked_names(spark, d).select(F.col("id").alias("entity_id"), "entity", "form")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = P.find_personal(record_texts(spark, d, "client"))
+    return found.select(kind_name(), F.col("id").alias("rec_id"), F.col("what").alias("kind"), "start_pos").distinct()
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return P.redact(record_texts(spark, d, "client")).select(kind_name(), F.col("id").alias("rec_id"), "text", "n_items").distinct()
+
+
 def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_embeddings").select(F.col("embedding_id").alias("id"), F.col("source_type").alias("kind"), "vector")
 
@@ -103,7 +113,7 @@ sh AS (SELECT DISTINCT rec_table, id, hash(w[i], w[i+1], w[i+2]) AS s FROM (SELE
 n AS (SELECT rec_table, id, count(*) AS n FROM sh GROUP BY ALL),
 met AS (SELECT a.rec_table, a.id AS ia, b.id AS ib, count(*) AS c FROM sh a JOIN sh b ON a.rec_table = b.rec_table AND a.s = b.s AND a.id < b.id GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_entities, p6_found, p6_neighbours, p7_found, p7_cleaned, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_entities, p4_found, p4_redacted, p6_found, p6_neighbours, p7_found, p7_cleaned, p8_mix, p8_shares, p9_pieces)}
 
 _P6 = r"""
 v AS (SELECT DISTINCT embedding_id AS id, lower(trim(source_type, e' \t\r\n')) AS k, CAST(vector AS DOUBLE[]) AS x FROM graph_embeddings
