@@ -39,7 +39,7 @@ ORGANISATION = re.compile(r"\b(?:Inc|LLC|L\.L\.C|Ltd|Limited|Corp|Corporation|Co
 PHONE_LABEL = re.compile(r"(?:phone|tel|mobile|cell|call|text(?:ed)?|fax|reach me on|daytime|weekends|contact)\W*(?:number|no|on|at)?\W*$", re.I)
 ID_LABEL = re.compile(r"(?:ssn|itin|soc(?:ial)?\.? ?sec(?:urity)?\.?|passport|licen[cs]e|dl|national id|identity card|id card|taxpayer|identification|tin|whose number is|identified by)\W*(?:number|no|is|id)?\W*(?:number|no)?\W*$", re.I)
 OTHER_LABEL = re.compile(r"(?:invoice|docket|section|exhibit|order|case|account|file|policy|claim|numbered|dated|rptr|page|no)\W*(?:number(?:ed)?|no)?\W*$", re.I)
-FIELD = re.compile(r"(?:/s/|from:|cc:|bcc:|to:|witness:|signed:|name:|attn:|heir:|\| ?(?:contact|name|client|witness) ?\|)\W*$", re.I)
+FIELD = re.compile(r"(?:/s/|from:|cc:|bcc:|to:|witness:|signed:|name:|attn:|heir:|\| ?(?:contact|name|client|witness) ?\||\b(?:cc|to): [^\n;]*;)\W*$", re.I)
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _INI = r"[A-Z]\."
@@ -96,13 +96,14 @@ def features(text: str, cand: tuple[int, int, int, int], given: dict[str, int])
     m, n = _BEFORE.search(before), _AFTER.search(after)
     prev, following = m[1] if m else "", n[1] if n else ""
     digits = sum(c.isdigit() for c in span)
+    beside = following if re.match(r",? \S", after) else ""
     f = [0.0] * N_FEATURES
     f[0], f[1] = kind, pattern
     f[2] = 1.0 if FIELD.search(before) else 0.0
     f[3] = 1.0 if re.fullmatch(TITLE + r"\.?", prev) else 0.0
     f[4] = 1.0 if re.search(r"\d[\w.]* $", before) else 0.0
-    f[5] = 1.0 if re.fullmatch(STREET + r"\.?", following) else 0.0
-    f[6] = 1.0 if ORGANISATION.search(span) or ORGANISATION.match(following) else 0.0
+    f[5] = 1.0 if re.fullmatch(STREET + r"\.?", beside) else 0.0
+    f[6] = 1.0 if ORGANISATION.search(span) or ORGANISATION.match(beside) else 0.0
     f[7] = 1.0 if following == "v." else 0.0
     f[8] = 1.0 if prev == "v." else 0.0
     f[9] = 1.0 if re.match(r",? [A-Z]{2}(?: \d{5}|[.,\n]|$)", after) else 0.0
@@ -150,8 +151,14 @@ def label(text: str, cand: tuple[int, int, int, int], f: list[float]) -> int | N
             return 1
         if f[3] and cand[3] == 2 and not f[9] and not f[11]:
             return 1 if not re.search(r"\d[^.\n]{0,40}$", text[max(0, cand[1] - 40) : cand[1]]) else 0
-        if f[9] or f[24]:
+        if f[9] or f[24] or f[22] and f[21] and f[12]:
             return 0
+        if cand[3] == 1 and not f[20] and not f[21]:  # what follows the comma is no given name
+            return 0
+        if cand[3] == 1 and f[20] > 1:
+            return 1
+        if cand[3] == 0 and f[21] and not f[19] and not f[22] and not f[10] and not (f[12] and not f[16]):
+            return 1  # an initial and one word in running text
         return None
     if kind == 1:
         return 0 if f[27] or f[26] else 1 if f[25] else None
