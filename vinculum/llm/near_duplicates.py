@@ -52,9 +52,18 @@ _HASHES = _Hashes()
 _STEPS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def class_of(kind: int, w: list[bytes]) -> int:
+    """A hash of the words; its last bit is the kind."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(w)) & ~1 | kind
+    return h - 2**64 if h >= 2**63 else h
+
+
 def shingles(text: str, n: int) -> np.ndarray:
     """Hashes of the runs of n words, 64 bits, as they come."""
-    w = words(text)
+    return shingles_of(words(text), n)
+
+
+def shingles_of(w: list[bytes], n: int) -> np.ndarray:
     if len(w) < n:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
@@ -87,7 +96,7 @@ def _fingerprint(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((low >> np.uint32(5)) & np.uint32(255)).astype(np.uint8)
 
 
-def _postings(n: int, positions: int, width: int):
+def _postings(n: int, min_words: int, positions: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
         a, b = rng.integers(0, 2**31, positions, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, positions, dtype=np.uint32)
@@ -97,13 +106,17 @@ def _postings(n: int, positions: int, width: int):
         seen: set[int] = set()
         for batch in batches:
             keys, owners = [], []
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                if len(w) < min_words:
+                    continue
+                cls = class_of(kind, w)
                 if cls in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(cls)
-                s = (shingles(text, n) >> np.uint64(32)).astype(np.uint32)
+                s = (shingles_of(w, n) >> np.uint64(32)).astype(np.uint32)
                 if len(s):
                     f = _fingerprint(s, a, b)[: lists * width].reshape(lists, width).astype(np.int64) @ shift
                     keys.append(f + place + (np.int64(cls & 1) << 50))
@@ -191,22 +204,37 @@ def _verify(n: int, threshold: float):
     return run
 
 
-def classes(texts: DataFrame) -> DataFrame:
-    """(kind 0/1, id, text) to (cls, id, text, n_words): equal words of one kind have the same cls; repeated rows go."""
-    plain = F.btrim(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")))
-    rows = texts.where("text is not null and id is not null").select("kind", "id", "text", plain.alias("plain"))
-    cls = F.xxhash64("plain").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("kind").cast("long"))
-    n = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1)
-    return rows.select(cls.alias("cls"), "id", "text", n.alias("n_words"))
+def _classify(min_words: int, keep_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep, cls = [], []
+            for i, (kind, text) in enumerate(zip(x.column(0).to_pylist(), x.column(2).to_pylist())):
+                w = words(text)
+                if len(w) >= min_words:
+                    keep.append(i)
+                    cls.append(class_of(kind, w))
+            y = x.take(pa.array(keep, pa.int64()))
+            out = {"cls": pa.array(cls, pa.int64()), "id": y.column(1)} | ({"text": y.column(2)} if keep_text else {})
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return run
+
+
+def classes(texts: DataFrame, min_words: int, keep_text: bool = False) -> DataFrame:
+    """(kind 0/1, id, text) to (cls, id[, text]) of the texts with enough words: equal words of one kind have the same cls."""
+    rows = texts.where("text is not null and id is not null").select("kind", "id", "text")
+    return rows.mapInArrow(_classify(min_words, keep_text), "cls long, id string" + ", text string" * keep_text)
 
 
-def similar_classes(rows: DataFrame, shingle: int = 5, threshold: float = 0.8, positions: int = 200, width: int = 5, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """rows of classes() to the pairs of classes (a, b, similarity) and the members (cls, id)."""
+def similar_classes(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, min_words: int = 40, positions: int = 200, width: int = 5, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(kind 0/1, id, text) to the pairs of classes (a, b, similarity) and the members (cls, id)."""
     if not 1 <= width <= 5 or positions // width > 1024 or shingle > 64:
         raise ValueError("near duplicates: width 1 to 5, at most 1024 lists, shingles of at most 64 words")
-    index = rows.select("cls", "text").mapInArrow(_postings(shingle, positions, width), "key long, cls long")
-    walked = index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(HOT), "a long, b long, key long")
-    walked = materialise(walked)
+    min_words = max(min_words, shingle)
+    members = materialise(classes(texts, min_words).distinct())
+    rows = texts.where("text is not null and id is not null").select("kind", "text")
+    index = rows.mapInArrow(_postings(shingle, min_words, positions, width), "key long, cls long")
+    walked = materialise(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(HOT), "a long, b long, key long"))
     hot = walked.where("b is null").select("key", F.col("a").alias("cls"))
     block = F.pmod(F.xxhash64("cls"), F.lit(BLOCKS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
@@ -215,11 +243,12 @@ def similar_classes(rows: DataFrame, shingle: int = 5, threshold: float = 0.8, p
     more = left.join(right, ["key", "x", "y"]).where("a < b").select("a", "b")
     tally = walked.where("b is not null").select("a", "b").unionByName(more).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     pairs = materialise(tally.select("a", "b"))
-    members = rows.select("cls", "id").distinct()
+    # only the first record of each class that has a partner brings its text
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    first = members.groupBy("cls").agg(F.min("id").alias("id")).join(wanted, "cls", "left_semi")
-    texts = rows.select("id", "cls", "text").join(first, ["id", "cls"], "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    first = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select("id").distinct()
+    brought = texts.where("text is not null").select("kind", "id", "text").join(first, "id", "left_semi")
+    chosen = materialise(classes(brought, min_words, True).join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "text"))
+    both = pairs.join(chosen.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(chosen.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, threshold), "a long, b long, similarity double"), members
 
 
@@ -228,9 +257,7 @@ def near_duplicate_pairs(texts: DataFrame, shingle: int = 5, threshold: float =
 
     Pairs of copies are expanded too; near_duplicate_groups() gives the same links in one row per record.
     """
-    rows = classes(texts).where(F.col("n_words") >= max(min_words, shingle))
-    pairs, members = similar_classes(rows, shingle, threshold, **how)
-    members = materialise(members)
+    pairs, members = similar_classes(texts, shingle, threshold, min_words, **how)
     m = lambda c: members.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"))
     across = pairs.join(m("a"), "a").join(m("b"), "b").select((F.col("a").bitwiseAND(F.lit(1))).alias("kind"), "id_a", "id_b")
     within = m("a").join(m("b"), F.col("a") == F.col("b")).where("id_a < id_b").select((F.col("a").bitwiseAND(F.lit(1))).alias("kind"), "id_a", "id_b")
@@ -244,9 +271,8 @@ def near_duplicate_groups(texts: DataFrame, shingle: int = 5, threshold: float =
     group_id: the smallest id reached by links; n_copies: records with the same words; n_links: other texts that are
     similar enough, each counted once however many copies it has.
     """
-    rows = classes(texts).where(F.col("n_words") >= max(min_words, shingle))
-    pairs, members = similar_classes(rows, shingle, threshold, **how)
-    pairs, members = materialise(pairs.select("a", "b")), materialise(members)
+    pairs, members = similar_classes(texts, shingle, threshold, min_words, **how)
+    pairs = materialise(pairs.select("a", "b"))
     size = members.groupBy("cls").agg(F.count("*").alias("n_copies"), F.min("id").alias("first_id"))
     links = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
     comp = connected_components(pairs).select(F.col("id").alias("cls"), "component")
