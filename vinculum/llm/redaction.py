@@ -44,20 +44,26 @@ FIELD = re.compile(r"(?:/s/|from:|cc:|bcc:|to:|witness:|signed:|name:|attn:|heir
 _CAP = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _INI = r"[A-Z]\."
 _GAP = r"[ \t]?\n?[ \t]?"
-_DOT, _AT = r"(?:\.|\s?[\[(]dot[\])]\s?)", r"(?:@|\s?[\[(]at[\])]\s?)"
-GENERATORS = [
-    (0, re.compile(rf"[A-Za-z0-9_%+\-]+(?:{_DOT}[A-Za-z0-9_%+\-]+)*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+", re.I)),
-    (1, re.compile(r"(?<![\w$.\-/])(?:\+\d{1,3}[ .\-]?|\d{1,2}[ .\-])?(?:\(\d{2,4}\)|\d{2,4})(?: ?/ ?|[ .\-]?)\d{3,4}[ .\-]?\d{4}(?![\w\-])(?: ?(?:ext|x)\.? ?\d+)?")),
-    (2, re.compile(r"(?<![\w$.\-/])(?:\d{3}([- ]?)\d{2}\1\d{4}|[A-Z]{1,2}\d{6,9}[A-Z]?|[A-Z]\d{3}-\d{4}-\d{4})(?![\w\-])")),
-    (3, re.compile(
-        rf"(?<![\w$.])(?:(?:(?:Flat|Apt|Unit|Suite)\.? \w+, )?\d{{1,5}} (?:[NSEW]\. )?(?:{_CAP} ){{1,3}}{STREET}\b\.?|P\.? ?O\.? Box \d+|(?:Rue|Calle|Via|Avenida|Plaza|Piazza)(?: (?:de|des|del|della|di|la|las|los|du))* {_CAP} \d+|[A-ZÄÖÜ][a-zäöüß]+(?:gasse|strasse|straße|weg|platz|allee) \d+)"
-        rf"(?:,? (?:(?:Apt|Unit|Suite|Fl)\.? ?\w+|#\w+))?(?:(?:, ?|\n| )(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?,? [A-Z]{{2}}\b(?: \d{{5}}(?:-\d{{4}})?)?|, ?(?:\d{{4,5}} )?{_CAP})?"
-    )),
-    (4, re.compile(rf"(?<![\w.@])(?=((?:{_CAP}|{_INI}(?: ?{_INI})?)(?: {_INI}(?: ?{_INI})?)?{_GAP}{_CAP})(?![\w@]))(?={_CAP}[ \n]|{_INI})")),
-    (4, re.compile(rf"(?<![\w.@])(?=({_CAP},[ \n](?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+|{_INI})(?: {_INI})?)(?![\w@]))")),
-    (4, re.compile(rf"(?<![\w.@]){TITLE}\.?[ \n]({_CAP})(?![\w@])")),
-]
-_PATTERN_OF = (0, 0, 0, 0, 0, 1, 2)
+_DOT = r"(?:\.|\s?[\[(]dot[\])]\s?)"
+_PHONE = re.compile(r"(?<![\w$.\-/])(?:\+\d{1,3}[ .\-]?|\d{1,2}[ .\-])?(?:\(\d{2,4}\)|\d{2,4})(?: ?/ ?|[ .\-]?)\d{3,4}[ .\-]?\d{4}(?![\w\-])(?: ?(?:ext|x)\.? ?\d+)?")
+_NUMBER = re.compile(r"(?<![\w$.\-/])(?:\d{3}([- ]?)\d{2}\1\d{4}|[A-Z]{1,2}\d{6,9}[A-Z]?|[A-Z]\d{3}-\d{4}-\d{4})(?![\w\-])")
+_ADDRESS = re.compile(
+    rf"(?<![\w$.])(?:(?:(?:Flat|Apt|Unit|Suite)\.? \w+, )?\d{{1,5}} (?:[NSEW]\. )?(?:{_CAP} ){{1,3}}{STREET}\b\.?|P\.? ?O\.? Box \d+|(?:Rue|Calle|Via|Avenida|Plaza|Piazza)(?: (?:de|des|del|della|di|la|las|los|du))* {_CAP} \d+|[A-ZÄÖÜ][a-zäöüß]+(?:gasse|strasse|straße|weg|platz|allee) \d+)"
+    rf"(?:,? (?:(?:Apt|Unit|Suite|Fl)\.? ?\w+|#\w+))?(?:(?:, ?|\n| )(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?,? [A-Z]{{2}}\b(?: \d{{5}}(?:-\d{{4}})?)?|, ?(?:\d{{4,5}} )?{_CAP})?"
+)
+# Patterns are tried only where a cheap one, that starts with a set of characters, finds what they need.
+_DIGITS = re.compile(r"\d[\d .\-/()]{4,}\d")
+_PLACES = re.compile(r"\d(?: (?:[NSEW]\. )?[A-ZÀ-ÖØ-Þ]|(?<=[^\W\d_A-Z] \d)|(?<=Box \d))")
+_ABROAD = re.compile(r"(?:gasse|strasse|straße|weg|platz|allee|\b(?:Rue|Calle|Via|Avenida|Plaza|Piazza) [^\d\n]*) $")
+_REST = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
+_NAME = re.compile(
+    rf"[A-ZÀ-ÖØ-Þ](?<![\w.@].)(?:(?=((?:{_REST}|\.(?: ?{_INI})?)(?: {_INI}(?: ?{_INI})?)?{_GAP}{_CAP})(?![\w@]))|(?=({_REST},[ \n](?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+|{_INI})(?: {_INI})?)(?![\w@])))"
+)
+_TITLED = re.compile(rf"{TITLE}\.?[ \n]({_CAP})(?![\w@])")
+# mail addresses are looked for from their sign to both sides
+_SIGN = re.compile(r"@|[\[(]at[\])]", re.I)
+_LOCAL = re.compile(rf"[A-Za-z0-9_%+\-]+(?:{_DOT}[A-Za-z0-9_%+\-]+)*\s?$", re.I)
+_HOST = re.compile(rf"\s?[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+", re.I)
 _BEFORE = re.compile(r"([\w.&'’/#:]+)[ \n*|(\[\"]*$")
 _AFTER = re.compile(r"^[ \n,*|)\]\"]*([\w.&'’/#]+)")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -69,18 +75,46 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower() if not s.isascii() else s.lower()
 
 
+def names(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, pattern): 0 given name before surname, 1 after it and a comma, 2 surname after a title."""
+    for m in _NAME.finditer(text):
+        if m[1] is not None:
+            yield m.start(), m.end(1), 0
+        else:
+            yield m.start(), m.end(2), 1
+    for m in _TITLED.finditer(text):
+        if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in ".@_"):
+            yield *m.span(1), 2
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, pattern) of every proposed span."""
     out = []
-    shouted = _shouted(text)
-    for g, (kind, pattern) in enumerate(GENERATORS):
-        if g == 0 and "@" not in text and "at)" not in text and "at]" not in text:
+    for sign in _SIGN.finditer(text):
+        start = max(0, sign.start() - 320)
+        local, host = _LOCAL.search(text[start : sign.start()]), _HOST.match(text, sign.end())
+        if local and host and (sign[0] != "@" or not (local[0][-1].isspace() or host[0][0].isspace())):
+            out.append((0, start + local.start(), host.end(), 0))
+    spans = set()
+    for m in _DIGITS.finditer(text):
+        for kind, pattern in ((1, _PHONE), (2, _NUMBER)):
+            spans.update((kind, *x.span(), 0) for x in pattern.finditer(text, max(0, m.start() - 5), min(len(text), m.end() + 12)))
+    for m in _PLACES.finditer(text):
+        if m.end() == m.start() + 1 and text[m.start() - 4 : m.start()] != "Box " and not _ABROAD.search(text, max(0, m.start() - 40), m.start()):
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if g >= 4 else m.span()
-            if kind == 4 and any(x <= a < y for x, y in shouted):
+        x = _ADDRESS.search(text, max(0, m.start() - 44), min(len(text), m.end() + 140))
+        while x and x.end() <= m.start():
+            x = _ADDRESS.search(text, x.end(), min(len(text), m.end() + 140))
+        if x:
+            spans.add((3, *x.span(), 0))
+    out += sorted(spans)
+    shouted = None
+    for a, b, pattern in names(text):
+        if text[a + 1 : a + 2].isupper():
+            shouted = _shouted(text) if shouted is None else shouted
+            if any(x <= a < y for x, y in shouted):
                 continue
-            out.append((kind, a, b, _PATTERN_OF[g]))
+        out.append((4, a, b, pattern))
     return out
 
 
@@ -212,13 +246,12 @@ def _given_names(texts: DataFrame) -> dict[str, int]:
         for b in batches:
             seen: Counter = Counter()
             for text in b["text"]:
-                for g in (4, 5):
-                    for m in GENERATORS[g][1].finditer(text):
-                        a, e = m.span(1)
-                        w = [fold(x) for x in _LETTERS.findall(m[1])]
-                        w = [x for x in w if len(x) > 1]
-                        if len(w) == 2 and not ORGANISATION.search(m[1]) and (FIELD.search(text[max(0, a - 45) : a]) or _spelt(text[e : e + 90], w[-1:] if g == 4 else w[:1])):
-                            seen[w[0] if g == 4 else w[1]] += 1
+                for a, e, g in names(text):
+                    if g == 2:
+                        continue
+                    w = [x for x in (fold(x) for x in _LETTERS.findall(text[a:e])) if len(x) > 1]
+                    if len(w) == 2 and (FIELD.search(text[max(0, a - 45) : a]) or _spelt(text[e : e + 90], w[-1:] if g == 0 else w[:1])) and not ORGANISATION.search(text[a:e]):
+                        seen[w[g]] += 1
             yield pd.DataFrame({"w": list(seen), "n": list(seen.values())}, columns=["w", "n"])
 
     counts = texts.where("text is not null").select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
