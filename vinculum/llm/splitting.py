@@ -5,7 +5,8 @@ boundary nearby (nearest of equals), and if then any piece is over the limit a p
 anew. The start of a piece lies `overlap` tokens before the end of the one before it.
 
 Boundaries by strength: blank line, line end, sentence end, clause, white space or a change of word, inside a word. A cut
-never falls inside a character: where `overlap` tokens end inside one the overlap grows to its start. The limit holds
+never falls inside a character: where `overlap` tokens end inside one the overlap grows to its start, or shrinks if that
+would repeat a whole piece. The limit holds
 for a piece's own tokens, counted again on its text. A single character of more tokens than the limit stays whole.
 Items within the limit, null texts and items without a limit give no rows. Null overlaps are none.
 """
@@ -62,8 +63,10 @@ def cuts(n: int, limit: int, overlap: int, strength: np.ndarray, k: int) -> tupl
         end = lo + int(np.argmax(near))
         ends.append(end)
         start = max(end - overlap, starts[-1] + 1)
-        while start > 0 and strength[start] < 0:
+        while start > starts[-1] and strength[start] < 0:
             start -= 1
+        if start <= starts[-1]:  # a character of more tokens than the overlap: the next one's start, or none shared
+            start = next((k for k in range(starts[-1] + 1, end) if strength[k] >= 0), end)
         starts.append(start)
     return starts, [*ends, n]
 
