@@ -202,7 +202,7 @@ add("analyze_graph", lambda r: G.basic_metrics(simple(r), r.nodes).select(F.expl
 add("graph_stats", lambda r: G.basic_metrics(simple(r), r.nodes).crossJoin(CC.connected_components(simple(r).select("a", "b")).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))))
 same("visualization_subgraph", "WITH top AS (SELECT node_id FROM nodes ORDER BY rank_score DESC NULLS LAST, node_id LIMIT 100) SELECT e.edge_id, e.source, e.target FROM edges e JOIN top s ON s.node_id = e.source JOIN top t ON t.node_id = e.target")
 same("list_entities_min_confidence", "SELECT entity_id, entity_type, confidence FROM entities WHERE confidence >= 0.7 ORDER BY confidence DESC, entity_id LIMIT 100")
-add("graph_query_nested", lambda r: r.nodes.where("node_type = 'entity'").select("node_id", "title").join(r.edges.where("source is not null").groupBy(F.col("source").alias("node_id")).agg(F.sort_array(F.collect_list("target")).alias("targets")), "node_id").join(parts(r), "node_id", "left"), "SELECT n.node_id, title, targets, c AS community FROM nodes n JOIN (SELECT source, list_sort(list(target) FILTER (target IS NOT NULL)) AS targets FROM edges WHERE source IS NOT NULL GROUP BY 1) e ON e.source = n.node_id LEFT JOIN (SELECT node_id, min(community_id) AS c FROM members GROUP BY 1) m ON m.node_id = n.node_id WHERE node_type = 'entity'")
+add("graph_query_nested", lambda r: r.nodes.where("node_type = 'entity'").select("node_id", "title").join(r.edges.where("source is not null").groupBy(F.col("source").alias("node_id")).agg(F.sort_array(F.collect_list("target")).alias("targets")), "node_id").join(parts(r), "node_id", "left"), "SELECT n.node_id, title, targets, c AS community FROM nodes n JOIN (SELECT source, coalesce(list_sort(list(target) FILTER (target IS NOT NULL)), []) AS targets FROM edges WHERE source IS NOT NULL GROUP BY 1) e ON e.source = n.node_id LEFT JOIN (SELECT node_id, min(community_id) AS c FROM members GROUP BY 1) m ON m.node_id = n.node_id WHERE node_type = 'entity'")
 
 # --- search
 add("cosine_similarity", lambda r: _vectors(r).select("id", _r(C.cosine(F.col("vector"), S.vector_column(_query(r))), 4).alias("similarity")), _sim + " SELECT id, round(s, 4) AS similarity FROM v")

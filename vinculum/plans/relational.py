@@ -108,7 +108,7 @@ same("join_documents_citing", "SELECT c.id, a.title AS citing_title, b.title AS
 same("join_left_degree", "SELECT n.node_id, count(e.edge_id) AS degree FROM nodes n LEFT JOIN edges e ON e.source = n.node_id GROUP BY n.node_id")
 same("cooccurrence_sql", "SELECT a.entity_type AS x, b.entity_type AS y, count(*) AS n FROM entities a JOIN entities b ON a.document_id = b.document_id WHERE a.entity_id <> b.entity_id GROUP BY a.entity_type, b.entity_type")
 same("node_communities", "SELECT n.node_id, c.community_id, c.title, m.strength FROM nodes n JOIN members m ON m.node_id = n.node_id JOIN comms c ON c.community_id = m.community_id WHERE n.node_degree >= 5")
-same("community_nodes", "SELECT c.community_id, count(n.node_id) AS n_nodes, round(avg(m.strength), 4) AS mean_strength FROM comms c JOIN members m ON m.community_id = c.community_id JOIN nodes n ON n.node_id = m.node_id GROUP BY c.community_id")
+same("community_nodes", "SELECT c.community_id, count(n.node_id) AS n_nodes, round(avg(m.strength) + 1e-9, 4) AS mean_strength FROM comms c JOIN members m ON m.community_id = c.community_id JOIN nodes n ON n.node_id = m.node_id GROUP BY c.community_id")
 same("join_semi_in", "SELECT document_id, title FROM docs WHERE document_id IN (SELECT cited FROM cites)")
 same("join_semi_exists", "SELECT n.node_id FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.target = n.node_id AND e.weight > 0.8)")
 same("join_anti_missing", "SELECT n.node_id FROM nodes n LEFT ANTI JOIN members m ON m.node_id = n.node_id".replace("LEFT ANTI", "{anti}"), anti="LEFT ANTI || ANTI")
@@ -166,7 +166,7 @@ add("canonical_form", lambda r: r.entities.select("entity_id", C.canonical_form(
 add("entity_id_md5", lambda r: r.entities.select("entity_id", C.entity_id(F.col("entity_text"), F.col("entity_type")).alias("key")), f"SELECT entity_id, {_eid} AS key FROM entities")
 add("entity_description", lambda r: r.entities.select("entity_type").distinct().select("entity_type", C.entity_description(F.col("entity_type")).alias("description")))
 same("substring_contains", "SELECT chunk_id FROM chunks WHERE contains(lower(content), 'superior court')")
-add("substring_occurrences", lambda r: r.chunks.select("chunk_id", F.size(C.occurrences(F.lower("content"), F.lit("the"))).alias("n"), F.instr(F.lower("content"), "the").alias("first_pos")), "SELECT chunk_id, CAST(len(list_filter(range(1, len(content) + 1), lambda i: substr(lower(content), i, 3) = 'the')) AS INTEGER) AS n, CAST(strpos(lower(content), 'the') AS INTEGER) AS first_pos FROM chunks")
+add("substring_occurrences", lambda r: r.chunks.select("chunk_id", C.occurrence_count(F.lower("content"), F.lit("the")).alias("n"), F.instr(F.lower("content"), "the").alias("first_pos")), "SELECT chunk_id, CAST(len(list_filter(range(1, len(content) + 1), lambda i: substr(lower(content), i, 3) = 'the')) AS INTEGER) AS n, CAST(strpos(lower(content), 'the') AS INTEGER) AS first_pos FROM chunks")
 same("json_extract", "SELECT document_id, {y} AS year, CAST({p} AS INTEGER) AS pages FROM docs", y="get_json_object(metadata, '$.year') || json_extract_string(metadata, '$.year')", p="get_json_object(metadata, '$.page_count') || json_extract_string(metadata, '$.page_count')")
 add("json_contains", lambda r: r.nodes.where(json_contains(F.col("metadata"), {"importance": "high"})).select("node_id"), "SELECT node_id FROM nodes WHERE json_extract_string(metadata, '$.importance') = 'high'")
 add("json_merge", lambda r: r.docs.select("document_id", F.map_concat(F.from_json("metadata", "map<string,string>"), F.create_map(F.lit("checked"), F.lit("yes"))).alias("m")).select("document_id", F.col("m")["year"].alias("year"), F.col("m")["checked"].alias("checked")), "SELECT document_id, json_extract_string(metadata, '$.year') AS year, CASE WHEN metadata IS NOT NULL THEN 'yes' END AS checked FROM docs")
