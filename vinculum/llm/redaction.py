@@ -156,6 +156,8 @@ def features(text: str, cand: tuple[int, int, int, int], given: dict[str, int])
         f[19] = np.log1p(given.get(full[0], 0))
         f[20] = np.log1p(given.get(full[-1], 0)) if len(full) > 1 else 0.0
         f[21] = len(w) - len(full)
+        f[27] = np.log1p(given.get(fold(prev), 0)) if before[-1:] in (" ", "\n") else 0.0
+        f[28] = len(full)
         f[22] = 1.0 if span.isupper() else 0.0
         f[23] = 1.0 if len(full) > 1 and _spelt(after, full) else 0.0
         f[24] = 1.0 if text.rfind("#", max(0, a - 80), a) > text.rfind("\n", max(0, a - 80), a) else 0.0
@@ -191,8 +193,12 @@ def label(text: str, cand: tuple[int, int, int, int], f: list[float]) -> int | N
             return 0
         if cand[3] == 1 and f[20] > 1:
             return 1
-        if cand[3] == 0 and f[21] and not f[19] and not f[22] and not f[10] and not (f[12] and not f[16]):
+        if cand[3] == 0 and f[21] and f[28] == 1 and f[27]:
+            return 0  # the initial belongs to the given name before it
+        if cand[3] == 0 and f[21] and f[28] == 1 and not f[22] and not (f[12] and not f[16]):
             return 1  # an initial and one word in running text
+        if cand[3] == 0 and f[21] and f[28] == 2 and not f[19] and not f[3]:
+            return 0  # what stands before the initial is no given name
         return None
     if kind == 1:
         return 0 if f[27] or f[26] else 1 if f[25] else None
