@@ -7,7 +7,7 @@ threshold stands. Thresholds are calibrated on candidates the trees have not see
 There are no labelled texts, so the trees are fitted on candidates that labelling rules are sure about: form fields and
 signature lines, addresses of mail that spell the name beside them, labels before numbers on the one side; case names,
 organisations, courts, invoices, sections and exhibits on the other. What a rule says nothing about is left to the trees.
-They are fitted on the candidates of a random sample of `SAMPLE` texts (by hash), the only part that does not see all
+They are fitted on the candidates of a random sample of about `SAMPLE` texts (by hash), the only part that does not see all
 rows. The given names that a sure context shows are counted over all texts, and those with at least 1/`GIVEN` of all
 such mentions go to the tasks, so at most `GIVEN` names.
 
@@ -245,12 +245,12 @@ class Model:
         return out
 
 
-def _given_names(texts: DataFrame) -> dict[str, int]:
-    """Given names in sure contexts, counted over all texts; at most GIVEN of them."""
+def _given_names(texts: DataFrame) -> tuple[dict[str, int], int]:
+    """Given names in sure contexts, counted over all texts, at most GIVEN of them; and how many texts there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: Counter = Counter({"": len(b)})
             for text in b["text"]:
                 for a, e, g in names(text):
                     if g == 2:
@@ -261,17 +261,20 @@ def _given_names(texts: DataFrame) -> dict[str, int]:
             yield pd.DataFrame({"w": list(seen), "n": list(seen.values())}, columns=["w", "n"])
 
     counts = texts.where("text is not null").select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = counts.where("n >= 2").cache()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    got = {r["w"]: r["n"] for r in counts.where(F.col("n") >= total / GIVEN).collect()}
+    counts = counts.where("n >= 2 or w = ''").cache()
+    total = counts.where("w <> ''").agg(F.sum("n")).first()[0] or 0
+    got = {r["w"]: r["n"] for r in counts.where((F.col("w") == "") | (F.col("n") >= total / GIVEN)).collect()}
     counts.unpersist()
-    return got
+    n = got.pop("", 0)
+    return got, n
 
 
 def fit(texts: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Model:
     """texts (kind, id, text) to a model."""
-    given = _given_names(texts)
-    some = texts.where("text is not null").select("text", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(sample).select("text").toPandas()["text"]
+    given, n = _given_names(texts)
+    # a share by hash, so that no task sends more than its part of the sample
+    low = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, sample / max(1, n)) * (1 << 40))
+    some = texts.where(F.col("text").isNotNull() & low).select("text").limit(2 * sample).toPandas()["text"]
     rows = []
     for t in some:
         for c in candidates(t):
