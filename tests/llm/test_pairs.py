@@ -141,6 +141,22 @@ def test_neighbours_equal_brute_force(spark):
     assert len(true & pairs) >= 0.97 * len(true) and len(pairs - true) <= 0.03 * len(true)
 
 
+def test_low_floor_keeps_recall_as_leaves_grow(spark):
+    rng = np.random.default_rng(5)
+    n = 4000
+    x = rng.standard_normal((n, 64)).astype(np.float32)
+    rows = [(f"v{i:04d}", "chunk", v) for i, v in enumerate(x.tolist())]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = V.nearest(vectors(spark, rows), 5, queries=F.col("id").endswith("0"), leaf=64).collect()
+    got = {}
+    for r in near:
+        got.setdefault(int(r["id"][1:]), set()).add(int(r["other_id"][1:]))
+    s = u[::10] @ u.T
+    s[np.arange(n // 10), np.arange(0, n, 10)] = -2
+    want = {10 * i: set(np.argsort(-s[i])[:5].tolist()) for i in range(n // 10)}
+    assert set(got) == set(want) and sum(len(want[i] & got[i]) for i in want) >= 0.9 * 5 * len(want)
+
+
 def test_copies_of_one_vector(spark):
     rows = [(f"c{i:02d}", "x", [1.0, 2.0]) for i in range(20)] + [("far", "x", [2.0, -1.0]), ("other", "y", [1.0, 2.0])]
     got = [tuple(r) for r in V.nearest(vectors(spark, rows), 3, dim=2, floor=0.5).select("id", "other_id").collect()]

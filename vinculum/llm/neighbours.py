@@ -26,6 +26,11 @@ from vinculum.session import materialise
 #: Vectors that trees are fitted on, of all types together, and rows that a leaf is to hold.
 SAMPLE, LEAF = 100_000, 256
 TREES, PROBES = 4, 12
+#: Neighbours of a similarity of at least HIGH lie in few leaves. Under a lower floor they lie anywhere near: then there
+#: are WIDE_TREES trees, and a query reads at least WIDE_SHARE of all leaves of its type, however many there are.
+HIGH, WIDE_TREES, WIDE_SHARE = 0.85, 8, 0.15
+#: More than twice the error of a similarity of half-precision vectors.
+HALF = 0.004
 
 
 def comparable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -101,7 +106,7 @@ def fit(sample: pd.DataFrame, counts: dict[str, int], dim: int, trees: int, leaf
     return out
 
 
-def _route(forest, counts: dict[str, int], dim: int, probes: int, block_rows: int):
+def _route(forest, counts: dict[str, int], dim: int, probes: int, share: float, block_rows: int):
     """(cls, kind, unit, asked) to the rows of its leaves: (block, cls, unit16, member, asks)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +122,7 @@ def _route(forest, counts: dict[str, int], dim: int, probes: int, block_rows: in
                     x = np.frombuffer(b"".join(part["unit"]), np.float32).reshape(-1, dim)
                     p = np.concatenate([t.priorities(x) for t in trees], axis=1)
                     own = np.stack([base[k] + p[:, base[k] : base[k + 1]].argmax(axis=1) for k in range(len(trees))], axis=1)
-                    most = min(max(probes, len(trees)), p.shape[1])
+                    most = min(max(probes, len(trees), int(np.ceil(share * p.shape[1]))), p.shape[1])
                     np.put_along_axis(p, own, np.inf, axis=1)
                     taken = np.argpartition(-p, most - 1, axis=1)[:, :most] if most < p.shape[1] else np.broadcast_to(np.arange(p.shape[1]), p.shape)
                     cls, asked = part["cls"].to_numpy(), part["asked"].to_numpy()
@@ -147,7 +152,7 @@ def _meet(dim: int, k: int, floor: float):
         x = np.frombuffer(b"".join(b["unit"]), np.float16).reshape(-1, dim).astype(np.float32)
         cls, member, asks = b["cls"].to_numpy(), b["member"].to_numpy(), b["asks"].to_numpy()
         m, mc = x[member], cls[member]
-        out_a, out_b = [], []
+        out_a, out_b, out_s = [], [], []
         asking = np.flatnonzero(asks)
         for i in range(0, len(asking) if len(mc) else 0, 1024):
             at = asking[i : i + 1024]
@@ -156,10 +161,10 @@ def _meet(dim: int, k: int, floor: float):
             if s.shape[1] > 2 * k:  # a few more than k, for half precision
                 low = np.partition(s, -2 * k, axis=1)[:, -2 * k]
                 s[s < low[:, None]] = -2
-            q, c = np.nonzero(s >= max(floor - 0.004, -1.5))
-            out_a.append(cls[at][q]), out_b.append(mc[c])
-        cat = lambda y: np.concatenate(y) if y else np.empty(0, np.int64)
-        return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)})
+            q, c = np.nonzero(s >= max(floor - HALF, -1.5))
+            out_a.append(cls[at][q]), out_b.append(mc[c]), out_s.append(s[q, c])
+        cat = lambda y, t: np.concatenate(y) if y else np.empty(0, t)
+        return pd.DataFrame({"a": cat(out_a, np.int64), "b": cat(out_b, np.int64), "near": cat(out_s, np.float32)})
 
     return run
 
@@ -175,12 +180,15 @@ def _dot(dim: int):
     return dot
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, floor: float = -1.0, queries: Column | None = None, trees: int = TREES, probes: int = PROBES, leaf: int = LEAF, seed: int = 0) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, floor: float = -1.0, queries: Column | None = None, trees: int | None = None, probes: int | None = None, leaf: int = LEAF, seed: int = 0) -> DataFrame:
     """(id, kind, vector) to (id, other_id, similarity): for each query its k most similar others of the same kind.
 
     Only neighbours of a similarity of at least `floor` count. queries: which ids ask (all, if not given); every vector
-    is searched.
+    is searched. trees, probes: by the floor, if not given.
     """
+    wide = floor < HIGH
+    share = WIDE_SHARE if wide and probes is None else 0.0
+    trees, probes = trees or (WIDE_TREES if wide else TREES), probes or PROBES
     units = materialise(comparable(vectors, dim).withColumn("asked", queries if queries is not None else F.lit(True)))
     reps = units.groupBy("cls").agg(F.min("kind").alias("kind"), F.min("unit").alias("unit"), F.bool_or("asked").alias("asked"))
     reps = materialise(reps)
@@ -191,8 +199,12 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, floor: float = -1.0,
     n = sum(counts.values())
     sample = reps.select("kind", "unit").where((F.rand(seed) < 1.2 * SAMPLE / n) if n > SAMPLE else F.lit(True)).limit(2 * SAMPLE).toPandas()
     forest = spark.sparkContext.broadcast(fit(sample, counts, dim, trees, leaf, seed))
-    routed = reps.mapInPandas(_route(forest, counts, dim, probes, 16 * leaf), "block string, cls long, unit binary, member boolean, asks boolean")
-    met = materialise(routed.groupBy("block").applyInPandas(_meet(dim, k, floor), "a long, b long").distinct())
+    routed = reps.mapInPandas(_route(forest, counts, dim, probes, share, 16 * leaf), "block string, cls long, unit binary, member boolean, asks boolean")
+    met = routed.groupBy("block").applyInPandas(_meet(dim, k, floor), "a long, b long, near float")
+    if wide:  # many leaves bring many candidates; only those that may be among the k nearest are ranked on exact vectors
+        by = Window.partitionBy("a").orderBy(F.desc("near")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        met = met.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("kth", F.nth_value("near", k).over(by)).where(F.col("near") >= F.coalesce("kth", F.lit(-2.0)) - HALF)
+    met = materialise(met.select("a", "b").distinct())
     r = lambda c: reps.select(F.col("cls").alias(c), F.col("unit").alias(f"u{c}"))
     scored = met.join(r("a"), "a").join(r("b"), "b").select("a", "b", _dot(dim)("ua", "ub").alias("s")).where(F.col("s") >= floor)
     # of a class the k+1 smallest ids are enough to fill any list
