@@ -127,3 +127,34 @@ def test_stream_merges_every_batch(spark, tmp_path):
     q = spark.readStream.schema("id string, document_id string").parquet(src).writeStream.foreachBatch(U.each_batch(lambda: state["v"], write, U.replace)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["2", "3"]
+
+
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(ER, "BLOCK_TEXTS", 70)
+    monkeypatch.setattr(ER, "GROUP_ROWS", 50, raising=False)  # the size above which groups were split by their first word
+    rng = random.Random(2)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(200)]
+    pairs = [("The Dixwajumtre United Properties Ltd.", "Dixwajumtre United Properties Ltd."), ("Quorhazare Summit Holdings Inc", "Quorhazalre Summit Holdings Inc")]
+    texts = [t for p in pairs for t in p] + [f"{a} {b}" for a, b in zip(made, reversed(made))]
+    e = spark.createDataFrame([(f"e{i:04d}", t, "ORGANIZATION", 1.0, [f"d{i}"], i) for i, t in enumerate(texts)], "entity_id string, entity_text string, entity_type string, confidence double, document_ids array<string>, ord int")
+    got = {(r["id_a"], r["id_b"]) for r in ER.similar_pairs(e).collect()}
+    assert {("e0000", "e0001"), ("e0002", "e0003")} <= got
+    own = {r["entity_id"]: r["cluster_id"] for r in ER.clusters(e).collect()}
+    assert len(own) == len(texts) and own["e0001"] == "e0000" and own["e0003"] == "e0002"
+
+
+def test_blocks_equal_the_whole_group(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ER, "BLOCK_TEXTS", 7)
+    rng = random.Random(3)
+    words = ["Harbor", "Harbour", "Summit", "Sumit", "Holdings", "Hldgs", "Inc", "LLC", "The"]
+    texts = [" ".join(rng.sample(words, 3)) for _ in range(120)]
+    conf = [round(rng.uniform(0.7, 1.0), 2) for _ in texts]
+    e = spark.createDataFrame([(f"e{i:03d}", t, "ORGANIZATION", c, [f"d{i}"], i) for i, (t, c) in enumerate(zip(texts, conf))], "entity_id string, entity_text string, entity_type string, confidence double, document_ids array<string>, ord int")
+    s = ER.similarity(texts, np.array(conf), "PARTY")
+    want = {(f"e{i:03d}", f"e{j:03d}"): s[i, j] for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.85}
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in ER.similar_pairs(e).collect()}
+    assert want and set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    owner = ER.greedy(s, 0.85)
+    assert {r["entity_id"]: r["cluster_id"] for r in ER.clusters(e).collect()} == {f"e{i:03d}": f"e{o:03d}" for i, o in enumerate(owner)}

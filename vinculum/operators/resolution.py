@@ -5,6 +5,9 @@ Entities: entity_id, entity_text, entity_type, confidence, document_ids array<st
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +15,14 @@ from pyspark.sql import functions as F
 
 from vinculum.constants import BOOSTED_TYPES, DEFAULT_THRESHOLD, THRESHOLDS, TYPE_GROUPS
 from vinculum.functions.columns import canonical_form
-from vinculum.functions.similarity import ratio, tfidf_matrix, token_set
+from vinculum.functions.similarity import ngrams, ratio, tfidf_matrix, token_set
 from vinculum.operators.components import connected_components
+from vinculum.session import materialise
 
-#: A group larger than this is compared inside blocks of a shared word only.
-GROUP_ROWS = 3_000
+#: Texts of a block. Every block of a type group meets every other one of it, so the size changes no result.
+BLOCK_TEXTS = 1_000
+#: The n-grams most frequent in a type group that its texts are compared by; tfidf_matrix() has the same number.
+VOCABULARY = 1_000
 
 
 def parent_type(kind: Column) -> Column:
@@ -24,29 +30,42 @@ def parent_type(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), kind), kind)
 
 
-def _at_most(texts: list[str]) -> np.ndarray:
+def _at_most(left: list[str], right: list[str]) -> np.ndarray:
     """Upper bounds of .4 Indel ratio + .3 token set ratio, from letter counts and shared words."""
-    letters = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
-    counts = np.zeros((len(texts), max(1, len(letters))), np.int32)
-    for i, t in enumerate(texts):
-        for c in t:
-            counts[i, letters[c]] += 1
-    size = counts.sum(axis=1)
-    both = np.zeros((len(texts), len(texts)), np.float32)
-    for k in range(counts.shape[1]):
-        both += np.minimum(counts[:, k, None], counts[None, :, k])
-    total = np.maximum(1, size[:, None] + size[None, :])
-    r = np.where(size[:, None] + size[None, :] > 0, 2 * both / total, 1.0)
-    words: dict[str, list[int]] = {}
-    for i, t in enumerate(texts):
-        for w in set(t.split()):
-            words.setdefault(w, []).append(i)
-    share = np.zeros(r.shape, bool)
-    for own in words.values():
-        share[np.ix_(own, own)] = True
+    letters = {c: i for i, c in enumerate(sorted(set("".join(left)) | set("".join(right))))}
+
+    def count(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), max(1, len(letters))), np.float32)
+        for i, t in enumerate(texts):
+            for c in t:
+                out[i, letters[c]] += 1
+        return out
+
+    def words(texts: list[str]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            for w in set(t.split()):
+                out.setdefault(w, []).append(i)
+        return out
+
     # without a shared word the sorted words are compared; sorting changes spaces only
-    spaces = np.array([len(t) - len(" ".join(t.split())) + 1 for t in texts])
-    loose = np.minimum(1.0, 2 * (both + np.minimum(spaces[:, None], spaces[None, :])) / np.maximum(1, total - 2 * np.maximum(spaces[:, None], spaces[None, :])))
+    spaces = lambda texts: np.array([len(t) - len(" ".join(t.split())) + 1 for t in texts], np.float32)
+    x, y = count(left), count(right)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for k in range(x.shape[1]):
+        i, j = np.flatnonzero(x[:, k]), np.flatnonzero(y[:, k])
+        if len(i) and len(j):
+            both[np.ix_(i, j)] += np.minimum(x[i, k][:, None], y[j, k][None, :])
+    size = x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :]
+    total = np.maximum(1, size)
+    r = np.where(size > 0, 2 * both / total, 1.0)
+    share = np.zeros(r.shape, bool)
+    other = words(right)
+    for w, own in words(left).items():
+        if w in other:
+            share[np.ix_(own, other[w])] = True
+    a, b = spaces(left)[:, None], spaces(right)[None, :]
+    loose = np.minimum(1.0, 2 * (both + np.minimum(a, b)) / np.maximum(1, total - 2 * np.maximum(a, b)))
     return 0.4 * r + 0.3 * np.where(share, 1.0, loose)
 
 
@@ -59,7 +78,7 @@ def similarity(texts: list[str], confidence: np.ndarray, group: str, floor: floa
     out = 0.3 * (m @ m.T)
     mean = (confidence[:, None] + confidence[None, :]) / 2
     boost = 1.2 if group in BOOSTED_TYPES else 1.0
-    most = np.minimum((out + _at_most(texts)) * boost, 1.0 if boost > 1 else np.inf) * mean
+    most = np.minimum((out + _at_most(texts, texts)) * boost, 1.0 if boost > 1 else np.inf) * mean
     need = np.triu(most >= floor - 1e-6, 1)
     for i, j in zip(*np.nonzero(need)):
         out[i, j] += 0.4 * ratio(texts[i], texts[j]) / 100 + 0.3 * token_set(texts[i], texts[j]) / 100
@@ -82,41 +101,164 @@ def greedy(sim: np.ndarray, threshold: float) -> list[int]:
     return owner
 
 
-def similar_pairs(entities: DataFrame) -> DataFrame:
-    """(id_a, id_b, similarity) of the pairs of a type group at its threshold; each group in one task, in order."""
+def grouped(entities: DataFrame) -> DataFrame:
+    """Adds grp and key, a number of the row."""
+    return materialise(entities.withColumn("grp", parent_type(F.col("entity_type"))).withColumn("key", F.monotonically_increasing_id()))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("ord")
-        g = b["grp"].iat[0]
-        t = THRESHOLDS.get(g, DEFAULT_THRESHOLD)
-        s = similarity(b["entity_text"].tolist(), b["confidence"].to_numpy(float), g, t)
-        i, j = np.nonzero(np.triu(s >= t, 1))
-        ids = b["entity_id"].to_numpy()
-        return pd.DataFrame({"id_a": ids[i], "id_b": ids[j], "similarity": s[i, j]})
 
-    return blocked(entities).groupBy("grp", "blk").applyInPandas(run, "id_a string, id_b string, similarity double")
+def _threshold() -> Column:
+    pairs = [F.lit(x) for p in THRESHOLDS.items() for x in p]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("grp")), F.lit(DEFAULT_THRESHOLD))
 
 
-def blocked(entities: DataFrame) -> DataFrame:
-    """Adds grp and blk. Small groups are one block; in larger ones a block shares the first word of the canonical form."""
-    e = entities.withColumn("grp", parent_type(F.col("entity_type")))
-    sizes = e.groupBy("grp").agg(F.count("*").alias("n"))
-    first = F.element_at(F.split(canonical_form(F.col("entity_text")), " "), 1)
-    return e.join(sizes, "grp").withColumn("blk", F.when(F.col("n") <= GROUP_ROWS, F.lit("")).otherwise(first)).drop("n")
+def _vocabularies(rows: DataFrame) -> dict[str, tuple[dict[str, int], np.ndarray]]:
+    """Of each type group, its n-grams with their places, and their idf, from all its rows."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: dict[tuple[str, str], list[int]] = {}
+            for g, t, n in zip(b["grp"], b["entity_text"], b["n"]):
+                for x, k in ngrams(t).items():
+                    have = out.setdefault((g, x), [0, 0])
+                    have[0] += k * n
+                    have[1] += n
+            yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["grp", "gram", "total", "df"])
+
+    texts = rows.groupBy("grp", "entity_text").agg(F.count("*").alias("n"))
+    grams = texts.mapInPandas(count, "grp string, gram string, total long, df long").groupBy("grp", "gram").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    first = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("total"), "gram"))
+    kept = grams.withColumn("r", first).where(F.col("r") <= VOCABULARY).toPandas()
+    size = {r["grp"]: r["n"] for r in rows.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    out = {g: ({}, np.zeros(1)) for g in size}
+    for g, b in kept.groupby("grp"):
+        out[g] = ({x: i for i, x in enumerate(b["gram"])}, np.log((1 + size[g]) / (1 + b["df"].to_numpy(float))) + 1)
+    return out
+
+
+def _weights(texts: list[str], vocab: dict[str, int], idf: np.ndarray) -> np.ndarray:
+    m = np.zeros((len(texts), len(idf)))
+    for i, t in enumerate(texts):
+        for x, n in ngrams(t).items():
+            if x in vocab:
+                m[i, vocab[x]] = n
+    m *= idf
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-def clusters(entities: DataFrame) -> DataFrame:
-    """(entity_id, cluster_id): the id of the cluster's first record."""
+
+def _like_texts(rows: DataFrame) -> DataFrame:
+    """(grp, s, t, alike): texts of a type group whose likeness, before the mean confidence, may reach its threshold.
+
+    All pairs are bounded, block by block, and those whose bound reaches the threshold are computed. A text is paired
+    with itself as well.
+    """
+    rows = rows.where("entity_text is not null and confidence is not null and grp is not null")
+    vocab = rows.sparkSession.sparkContext.broadcast(_vocabularies(rows))
+    texts = rows.groupBy("grp", "entity_text").agg(F.max("confidence").alias("most"))
+    best = rows.groupBy("grp").agg(F.max("confidence").alias("best"))
+    # a text whose mean confidence with any other is under the threshold has no pair
+    texts = materialise(texts.join(F.broadcast(best), "grp").where((F.col("most") + F.col("best")) / 2 >= _threshold() - 1e-6).drop("best"))
+    blocks = texts.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("entity_text"), F.col("n")).cast("int")
+    spread = texts.join(F.broadcast(blocks), "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spread = spread.select("grp", "entity_text", "most", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("ord")
-        g = b["grp"].iat[0]
-        ids = b["entity_id"].to_numpy()
-        t = THRESHOLDS.get(g, DEFAULT_THRESHOLD)
-        own = greedy(similarity(b["entity_text"].tolist(), b["confidence"].to_numpy(float), g, t), t) if len(b) > 1 else [0]
-        return pd.DataFrame({"entity_id": ids, "cluster_id": ids[own]})
-
-    return blocked(entities).groupBy("grp", "blk").applyInPandas(run, "entity_id string, cluster_id string")
+        g, x, y = b["grp"].iat[0], b["x"].iat[0], b["y"].iat[0]
+        left, right = b[b["own"] == x], b[b["own"] == y]
+        s, t = left["entity_text"].tolist(), right["entity_text"].tolist()
+        if not s or not t:
+            return pd.DataFrame({"grp": [], "s": [], "t": [], "alike": []}, dtype=object)
+        floor, boost = THRESHOLDS.get(g, DEFAULT_THRESHOLD), 1.2 if g in BOOSTED_TYPES else 1.0
+        cap = 1.0 if boost > 1 else np.inf
+        cos = 0.3 * (_weights(s, *vocab.value[g]) @ _weights(t, *vocab.value[g]).T)
+        mean = (left["most"].to_numpy()[:, None] + right["most"].to_numpy()[None, :]) / 2
+        need = np.minimum((cos + _at_most(s, t)) * boost, cap) * mean >= floor - 1e-5
+        i, j = np.nonzero(np.triu(need) if x == y else need)
+        alike = np.array([min((cos[a, c] + 0.4 * ratio(s[a], t[c]) / 100 + 0.3 * token_set(s[a], t[c]) / 100) * boost, cap) for a, c in zip(i, j)], float)
+        keep = alike * mean[i, j] >= floor
+        i, j, alike = i[keep], j[keep], alike[keep]
+        return pd.DataFrame({"grp": [g] * len(i), "s": [s[a] for a in i], "t": [t[c] for c in j]}, dtype=object).assign(alike=alike)
+
+    return spread.groupBy("grp", "x", "y").applyInPandas(run, "grp string, s string, t string, alike double")
+
+
+def _alike(like: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairs of rows (grp, entity_text, confidence and cols, as a_ and b_) of texts that are alike, with their similarity."""
+    side = lambda p, t: rows.select("grp", F.col("entity_text").alias(t), F.col("confidence").alias(f"{p}_confidence"), *(F.col(c).alias(f"{p}_{c}") for c in cols))
+    met = like.join(side("a", "s"), ["grp", "s"]).join(side("b", "t"), ["grp", "t"])
+    return met.withColumn("similarity", F.col("alike") * ((F.col("a_confidence") + F.col("b_confidence")) / 2)).where(F.col("similarity") >= _threshold())
+
+
+def similar_pairs(entities: DataFrame) -> DataFrame:
+    """(id_a, id_b, similarity) of the pairs of a type group at its threshold; id_a comes first in order."""
+    rows = grouped(entities)
+    at = lambda p: F.struct(F.col(f"{p}_ord"), F.col(f"{p}_key"))
+    met = _alike(_like_texts(rows), rows, ["entity_id", "ord", "key"]).where((F.col("s") != F.col("t")) | (at("a") < at("b")))
+    first = at("a") < at("b")
+    pick = lambda c, x, y: F.when(first, F.col(x)).otherwise(F.col(y)).alias(c)
+    return met.select(pick("id_a", "a_entity_id", "b_entity_id"), pick("id_b", "b_entity_id", "a_entity_id"), "similarity")
+
+
+def greedy_classes(cls: list[int], links: dict[int, set[int]]) -> list[int]:
+    """greedy() of rows of classes, in order, where rows are alike if their classes are linked."""
+    at: dict[int, list[int]] = {}
+    for i, c in enumerate(cls):
+        at.setdefault(c, []).append(i)
+    owner, free = [-1] * len(cls), 0
+    while free < len(cls):
+        if owner[free] >= 0:
+            free += 1
+            continue
+        owner[free], queue, liked = free, [], set()
+        now = free
+        while True:
+            for c in links.get(cls[now], ()):
+                if c not in liked:
+                    liked.add(c)
+                    for j in at[c]:
+                        if j > now and owner[j] < 0:
+                            heapq.heappush(queue, j)
+            if not queue:
+                break
+            now = heapq.heappop(queue)
+            owner[now] = free
+    return owner
+
+
+def clusters(entities: DataFrame) -> DataFrame:
+    """(entity_id, cluster_id): the id of the cluster's first record.
+
+    Clusters are taken in order inside the connected parts of the pairs, which none crosses. Records of a type group
+    with equal text and confidence are one class there.
+    """
+    rows = grouped(entities)
+    same = ["grp", "entity_text", "confidence"]
+    classes = materialise(rows.groupBy(*same).agg(F.min("key").alias("cls")))
+    links = materialise(_alike(_like_texts(rows), classes, ["cls"]).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")))
+    part = connected_components(links.where("a <> b")).select(F.col("id").alias("cls"), "component")
+    linked = links.select(F.col("a").alias("cls")).union(links.select("b")).distinct()
+    part = materialise(linked.join(part, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")))
+    rows = rows.select("entity_id", "ord", "key", *same).join(classes.withColumnsRenamed({c: f"c_{c}" for c in same}), F.expr(" and ".join(f"{c} <=> c_{c}" for c in same))).select("entity_id", "ord", "key", "cls")
+    rows = materialise(rows.join(part, "cls", "left"))
+    bucket = F.pmod(F.xxhash64("component"), F.lit(1024)).alias("bucket")
+
+    def run(b: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        to: dict[int, set[int]] = {}
+        for x, y in zip(pairs["a"], pairs["b"]):
+            to.setdefault(x, set()).add(y)
+            to.setdefault(y, set()).add(x)
+        ids, first = [], []
+        for _, own in b.sort_values(["ord", "key"]).groupby("component", sort=False):
+            name = own["entity_id"].tolist()
+            ids += name
+            first += [name[i] for i in greedy_classes(own["cls"].tolist(), to)]
+        return pd.DataFrame({"entity_id": ids, "cluster_id": first}, dtype=object)
+
+    own = rows.where("component is not null").select(bucket, "component", "entity_id", "ord", "key", "cls").groupBy("bucket")
+    pairs = links.join(part.withColumnRenamed("cls", "a"), "a").select(bucket, "a", "b").groupBy("bucket")
+    met = own.cogroup(pairs).applyInPandas(run, "entity_id string, cluster_id string")
+    return met.unionByName(rows.where("component is null").select("entity_id", F.col("entity_id").alias("cluster_id")))
 
 
 def cluster_components(entities: DataFrame) -> DataFrame:
