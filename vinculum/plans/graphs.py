@@ -22,9 +22,9 @@ add, same = P.add, P.same
 _r = F.round
 
 
-def organisations(r: Relations):
-    """Organisations as entities of the party group, in order of their ids."""
-    return r.entities.where("entity_type = 'ORGANIZATION'").select("entity_id", "entity_text", F.lit("PARTY").alias("entity_type"), "confidence", F.array("document_id").alias("document_ids"), F.xxhash64("entity_id").alias("ord"))
+def resolvable(r: Relations):
+    """All entities with their own types, in order of their ids."""
+    return r.entities.select("entity_id", "entity_text", "entity_type", "confidence", F.array("document_id").alias("document_ids"), F.xxhash64("entity_id").alias("ord"))
 
 
 def mentions(r: Relations):
@@ -33,16 +33,16 @@ def mentions(r: Relations):
 
 # --- entity resolution with kernels
 def _merged(r: Relations):
-    e = organisations(r)
+    e = resolvable(r)
     return ER.merge(e, ER.clusters(e))
 
 
-add("similar_pairs", lambda r: ER.similar_pairs(organisations(r)))
-add("dedup_clusters", lambda r: ER.clusters(organisations(r)))
-add("dedup_components", lambda r: ER.cluster_components(organisations(r)))
+add("similar_pairs", lambda r: ER.similar_pairs(resolvable(r)))
+add("dedup_clusters", lambda r: ER.clusters(resolvable(r)))
+add("dedup_components", lambda r: ER.cluster_components(resolvable(r)))
 add("dedup_merge", _merged)
 add("canonical_text", lambda r: _merged(r).select("canonical_id", "canonical_text"))
-add("canonical_mappings", lambda r: ER.mappings(ER.clusters(organisations(r)), _merged(r)))
+add("canonical_mappings", lambda r: ER.mappings(ER.clusters(resolvable(r)), _merged(r)))
 add("dedup_entities", lambda r: _merged(r).drop("cluster_id"))
 _pairs = "SELECT a.entity_id AS x, b.entity_id AS y, a.entity_text AS s, b.entity_text AS t FROM entities a JOIN entities b ON a.document_id = b.document_id AND a.entity_type = b.entity_type AND a.entity_id < b.entity_id"
 add("fuzzy_ratio", lambda r: r.sql(_pairs).select("x", "y", fuzzy_ratio(F.col("s"), F.col("t")).alias("ratio")))
@@ -62,7 +62,7 @@ def _tfidf(b):
 
 
 add("tfidf_cosine", lambda r: r.entities.where("document_id is not null").groupBy("document_id").applyInPandas(lambda b: _tfidf(b), "x string, y string, cosine double"))
-add("combined_similarity", lambda r: ER.similar_pairs(organisations(r)).select("id_a", "id_b", _r("similarity", 6).alias("similarity")))
+add("combined_similarity", lambda r: ER.similar_pairs(resolvable(r)).select("id_a", "id_b", _r("similarity", 6).alias("similarity")))
 _new, _old = "source_schema = 'client'", "source_schema = 'law'"
 
 
