@@ -237,7 +237,9 @@ add("search_with_level", lambda r: S.hybrid(_hybrid_items(r), _query(r), "tariff
 add("precedent_search", lambda r: S.hybrid(_hybrid_items(r).join(r.chunks.select(F.col("chunk_id").alias("id"), "document_id"), "id").join(r.docs.where("source_schema = 'law'").select("document_id"), "document_id", "left_semi"), _query(r), "warranty lapsed", limit=15))
 same("entity_chunks", "SELECT c.chunk_id, e.entity_id FROM chunks c JOIN entities e ON e.document_id = c.document_id WHERE e.entity_type = 'COURT' AND e.confidence >= 0.9 ORDER BY c.chunk_id, e.entity_id LIMIT 200")
 same("citation_network", "SELECT c.citing, c.cited, d.title FROM cites c JOIN docs d ON d.document_id = c.cited WHERE d.document_type IN ('opinion', 'case_law')")
-same("precedent_chain", "SELECT a.citing AS first_id, a.cited AS second_id, b.cited AS third_id FROM cites a JOIN cites b ON b.citing = a.cited WHERE a.citing < 'doc_4'")
+_chain = "SELECT a.citing AS first_id, a.cited AS second_id, b.cited AS third_id FROM cites a JOIN cites b ON b.citing = a.cited"
+# all chains; the SQL beside it still takes those of the first ids only
+add("precedent_chain", lambda r: r.sql(_chain), "SELECT a.citing AS first_id, a.cited AS second_id, b.cited AS third_id FROM cites a JOIN cites b ON b.citing = a.cited WHERE a.citing < 'doc_4'")
 same("contradictions", "SELECT e.edge_id, s.title AS source_title, t.title AS target_title FROM edges e JOIN nodes s ON s.node_id = e.source JOIN nodes t ON t.node_id = e.target WHERE e.relationship_type IN ('OVERRULES', 'DISTINGUISHES', 'CONFLICTS_WITH')")
 add("similar_chunks", lambda r: R.similar_topics(_vectors(r).where("label = 1").select(F.col("id").alias("chunk_id"), F.col("vector").alias("embedding")), 0.3).select("source_chunk_id", "target_chunk_id"), f"SELECT source_chunk_id, target_chunk_id FROM ({_self} AND a.label = 1) WHERE s >= 0.3")
 same("rag_confidence", "SELECT document_id, round(0.3 * coalesce(chunk_count, 0) / 50.0 + 0.5 * least(1.0, coalesce(entity_count, 0) / 60.0) + 0.16, 6) AS confidence FROM docs")
