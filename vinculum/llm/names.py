@@ -6,8 +6,14 @@ the candidate of the greatest posterior: log of the candidate's rows (prior) plu
 for it (typos, initials, nicknames, bare surnames, abbreviated, dropped or reordered words). It stays its own where no
 candidate beats that. Forms linked by attribution, or by a record that gives both as full names, are one entity.
 
-Candidates meet over blocks: the surname or a rare word with any one letter left out. Forms are counted before they are
-joined, so a name that a third of all rows bear is one row there.
+Candidates meet over blocks, at every size the same ones. A candidate is found under its surname, or under its telling
+words (its one or two rarest, without which no form is typed for it); a form looks under its surname, or under each of
+its words; all of them with any one letter left out. So no word is too common to meet over: what is common is telling
+for few candidates only. Blocks that many forms look into are salted. Forms are counted before they are joined, so a name
+that a third of all rows bear is one row there.
+
+Nicknames are a short fixed list and what the records teach: two given names that records with one surname give side by
+side as entity_text and canonical_name, under two surnames at least.
 
 Different suffixes, series, years or numbers never agree, nor do different given names that are both in common use.
 Other kinds than persons and organisations take no part, nor do null or unreadable names without a readable canonical
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.operators.components import connected_components
+from vinculum.operators.skew import salted_join
 from vinculum.session import materialise
 
 # Titles, suffixes, legal forms and nicknames in common English use.
@@ -53,8 +60,8 @@ NICKNAMES = {
 TYPO, NICKNAME, INITIAL, BARE, MIDDLE, SHORT, DROPPED = -3.0, -1.0, -1.0, -1.5, -4.0, -1.0, -2.0
 #: A form stays its own if it is e**OWN times as likely; it is rare that two entities bear such like names.
 OWN = -4.0
-#: A word of more forms than this is no block of its own; names of such words only meet over pairs of their words.
-COMMON = 64
+#: A candidate's second word tells as well if it is at most so many times as common as its rarest.
+TELLING = 4
 
 
 def fold(s: str) -> str:
@@ -167,7 +174,7 @@ def person_likelihood(f: dict, c: dict) -> float:
     elif len(g) == 1:
         score += INITIAL if h[0] == g else -math.inf
     elif g != h:
-        if h in NICKNAMES.get(g, ()) or g in NICKNAMES.get(h, ()):
+        if h in NICKNAMES.get(g, ()) or g in NICKNAMES.get(h, ()) or h in f["nicks"]:
             score += NICKNAME
         elif f["given_rows"] >= 0.1 * c["given_rows"] and f["given_rows"] >= 3:
             return -math.inf  # both are names in common use
@@ -252,42 +259,65 @@ def parse(names: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"id string, {_FORM}, {other}")
 
 
-def _blocks(f: dict) -> list[str]:
-    """Where a form looks for candidates and, if full, is found. A bare surname looks under its own key only."""
+def _blocks(f: dict) -> tuple[list[str], list[str]]:
+    """The keys under which a form looks for candidates, and those under which it is found as one."""
     if f["kind"] == "O":
-        keys = [k for w, n in zip(f["rare"], f["often"]) if n <= COMMON for k in _left_out(w)]
-        if f["often"][0] > COMMON:  # no word tells it from others, but two of them may
-            w = sorted(set(f["words"]))
-            keys = [f"{a} {b}" for i, a in enumerate(w) for b in w[i + 1 :]] or w
-        return [f"O|{f['suffix']}|{k}" for k in keys]
+        seek = [f"O|{f['suffix']}|{k}" for w in set(f["words"]) for k in _left_out(w)]
+        return seek, [f"O|{f['suffix']}|{k}" for w in f["telling"] for k in _left_out(w)]
     g, s, x = f["given"], f["surname"], f["suffix"]
-    firsts = {g[:1], *(n[0] for n in NICKNAMES.get(g, ()))} - {""}
-    out = [f"P|{x}|{k}|{a}" for k in _left_out(s) for a in firsts]
-    return out + [f"P|{x}|{s}|-{g[1:4]}"] * (len(g) > 3) + [f"P|{x}|{s}|*"] * (not g)
+    if not g:
+        return [], []
+    firsts = {g[:1], *(n[0] for n in NICKNAMES.get(g, ())), *(n[0] for n in f["nicks"])}
+    keys = [f"P|{x}|{k}|{a}" for k in _left_out(s) for a in firsts] + [f"P|{x}|{s}|-{g[1:4]}"] * (len(g) > 3)
+    return keys, keys if f["full"] else []
 
 
-def attribute(forms: DataFrame) -> DataFrame:
-    """Forms with counts to the links (a, b): form a is typed for form b."""
-    cols = ["form", "kind", "given", "middle", "surname", "suffix", "words", "full", "rows", "middles", "given_rows", "rare", "often"]
+def _bare(forms: DataFrame) -> DataFrame:
+    """Bare surnames (f) with the full name (c) that is most frequent of that surname, the one of the greatest posterior.
+
+    Where nobody bears the surname it is taken for a slip, and meets the most frequent full name under each of its keys.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [sorted(set(_blocks(f))) for f in b[["kind", "given", "surname", "suffix", "words", "rare", "often"]].to_dict("records")]
-            yield pd.DataFrame({"form": b["form"], "key": keys}).explode("key")
+            yield b.assign(key=[_left_out(s) for s in b["surname"]]).explode("key")
 
-    keyed = materialise(forms.mapInPandas(spread, "form string, key string").join(forms.select("form", "full", "rows", F.col("surname").alias("s"), "suffix"), "form"))
-    cands = keyed.where("full").select("key", F.col("form").alias("c"))
-    pairs = keyed.select("key", F.col("form").alias("f")).join(cands, "key").where("f <> c").select("f", "c").distinct()
-    # a bare surname meets the most frequent full name of that surname only, the one of the greatest posterior
     people = forms.where("full and kind = 'P'").groupBy("surname", "suffix").agg(F.max(F.struct("rows", "form")).alias("m"))
-    bare = forms.where("kind = 'P' and given = ''").select("form", "surname", "suffix").join(people, ["surname", "suffix"]).select(F.col("form").alias("f"), F.col("m.form").alias("c"))
+    bare = forms.where("kind = 'P' and given = ''").select("form", "surname", "suffix")
+    borne = bare.join(people, ["surname", "suffix"]).select(F.col("form").alias("f"), F.col("m.form").alias("c"))
+    kind = "surname string, suffix string, {} string, key string"
+    slips = bare.join(people, ["surname", "suffix"], "left_anti").select("surname", "suffix", "form").mapInPandas(spread, kind.format("form"))
+    keyed = people.select("surname", "suffix", F.col("m.form").alias("c")).mapInPandas(spread, kind.format("c"))
+    rows = keyed.select("suffix", "key", "c").join(forms.select(F.col("form").alias("c"), "rows"), "c")
+    best = rows.groupBy("suffix", "key").agg(F.max(F.struct("rows", "c")).alias("m"))
+    return borne.unionByName(slips.join(best, ["suffix", "key"]).select(F.col("form").alias("f"), F.col("m.c").alias("c")))
+
+
+def attribute(forms: DataFrame) -> DataFrame:
+    """Forms with counts to the links (a, b): form a is typed for form b."""
+    cols = ["form", "kind", "given", "surname", "suffix", "middle", "words", "full", "rows", "middles", "given_rows", "nicks", "telling"]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for form, n, f in zip(b["form"], b["n"], b.to_dict("records")):
+                seek, found = _blocks(f)
+                rows += [(form, n, k, False) for k in sorted(set(seek))] + [(form, n, k, True) for k in sorted(set(found))]
+            yield pd.DataFrame(rows, columns=["form", "n", "key", "found"])
+
+    given = forms.select("form", F.size("words").alias("n"), "kind", "given", "surname", "suffix", "words", "full", "nicks", "telling")
+    keyed = materialise(given.mapInPandas(spread, "form string, n int, key string, found boolean"))
+    cands = keyed.where("found").select("key", F.col("form").alias("c"), F.col("n").alias("cn"))
+    # what no candidate is found under is not shuffled far: both sides come by the key
+    met = salted_join(keyed.where("not found").select("key", F.col("form").alias("f"), "n"), cands, "key", F.col("f"), "inner")
+    pairs = met.where("f <> c and cn between n and n + 2").select("f", "c").distinct()
     side = lambda p: forms.select(*(F.col(x).alias(f"{p}_{x}") for x in cols))
-    met = pairs.unionByName(bare).distinct().join(side("f"), F.col("f") == F.col("f_form")).join(side("c"), F.col("c") == F.col("c_form"))
+    met = pairs.unionByName(_bare(forms)).distinct().join(side("f"), F.col("f") == F.col("f_form")).join(side("c"), F.col("c") == F.col("c_form"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f, c = ([{k[2:]: v for k, v in r.items()} for r in b[[x for x in b.columns if x[:2] == p]].to_dict("records")] for p in ("f_", "c_"))
-            s = [person_likelihood(x, y) if x["kind"] == "P" else organisation_likelihood(list(x["words"]), list(y["words"]), [w for w, n in zip(y["rare"], y["often"]) if n <= 4 * y["often"][0]]) for x, y in zip(f, c)]
+            s = [person_likelihood(x, y) if x["kind"] == "P" else organisation_likelihood(list(x["words"]), list(y["words"]), list(y["telling"])) for x, y in zip(f, c)]
             post = [v + math.log(y["rows"]) for v, y in zip(s, c)]
             keep = [p > (math.log(x["rows"]) + OWN if x["full"] else -math.inf) and p > -math.inf for p, x in zip(post, f)]
             yield pd.DataFrame({"a": b["f"], "b": b["c"], "posterior": post}).loc[keep]
@@ -296,6 +326,20 @@ def attribute(forms: DataFrame) -> DataFrame:
     return scored.groupBy("a").agg(F.max(F.struct("posterior", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
 
 
+def _nicknames(rows: DataFrame) -> DataFrame:
+    """(given, nicks): what the records teach. Slips of the pen are none."""
+
+    def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[_typos(x, y) == -math.inf for x, y in zip(b["given"], b["o_given"])]]
+
+    both = rows.where("kind = 'P' and o_form is not null and surname = o_surname and given <> o_given").select("given", "o_given", "surname").distinct()
+    taught = both.mapInPandas(other, "given string, o_given string, surname string")
+    ways = taught.unionByName(taught.select(F.col("o_given").alias("given"), F.col("given").alias("o_given"), "surname"))
+    sure = ways.groupBy("given", "o_given").agg(F.countDistinct("surname").alias("n")).where("n >= 2")
+    return sure.groupBy("given").agg(F.sort_array(F.collect_set("o_given")).alias("nicks"))
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """names (id, type, name, canonical) to (id, entity, form): the same entity, the same name meant."""
     rows = materialise(parse(names))
@@ -304,10 +348,13 @@ def link_names(names: DataFrame) -> DataFrame:
     forms = both.groupBy("form").agg(*(F.first(x).alias(x) for x in ("kind", "given", "surname", "suffix", "words", "full")), F.max("middle").alias("middle"), F.array_remove(F.collect_set("middle"), "").alias("middles"), F.greatest(F.sum("n"), F.lit(1)).alias("rows"))
     forms = materialise(forms)
     given = forms.where("kind = 'P'").groupBy("given").agg(F.count("*").alias("given_rows"))
-    used = forms.where("kind = 'O'").select("form", F.explode("words").alias("w"))
+    used = forms.where("kind = 'O'").select("form", F.explode("words").alias("w")).distinct()
     often = used.groupBy("w").agg(F.count("*").alias("n"))
-    rare = used.join(often, "w").groupBy("form").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "w"))), 1, 2).alias("r")).select("form", F.col("r.w").alias("rare"), F.col("r.n").alias("often"))
-    forms = materialise(forms.join(given, "given", "left").join(rare, "form", "left").withColumn("given_rows", F.coalesce("given_rows", F.lit(0))).withColumn("rare", F.coalesce("rare", F.array().cast("array<string>"))).withColumn("often", F.coalesce("often", F.array().cast("array<long>"))))
+    rarest = salted_join(used, often, "w", F.col("form"), "inner").groupBy("form").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2).alias("r"))
+    telling = rarest.select("form", F.transform(F.filter("r", lambda x: x["n"] <= TELLING * F.col("r")[0]["n"]), lambda x: x["w"]).alias("telling"))
+    none = F.array().cast("array<string>")
+    forms = forms.join(given, "given", "left").join(telling, "form", "left").join(_nicknames(rows), "given", "left")
+    forms = materialise(forms.withColumns({"given_rows": F.coalesce("given_rows", F.lit(0)), "telling": F.coalesce("telling", none), "nicks": F.coalesce("nicks", none)}))
     links = attribute(forms).unionByName(rows.where("o_form is not null").select(F.col("form").alias("a"), F.col("o_form").alias("b"))).distinct()
     entity = connected_components(links).select(F.col("id").alias("form"), "component")
     return rows.select("id", "form").join(entity, "form", "left").select("id", F.coalesce("component", "form").alias("entity"), "form").distinct()
