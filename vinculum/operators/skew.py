@@ -18,15 +18,15 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [k for k in (row[0] or []) if k is not None] if row else []
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", share: float = 0.01) -> DataFrame:
-    """`left` joined with `right` (unique on `key`), hot keys of `left` split over salts.
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", share: float = 0.01, hot: list | None = None) -> DataFrame:
+    """`left` joined with `right`, hot keys of `left` split over salts. hot: those keys, where they are known already.
 
-    `spread` is any well-distributed column of `left`. Only the hot keys' rows of `right` are copied, at most
-    salts/share rows in all. Null keys never match and are spread too, so they do not gather in one task.
+    `spread` is any well-distributed column of `left`. Only the hot keys' rows of `right` are copied, where
+    it is unique on `key` at most salts/share rows in all. Null keys never match and are spread too, so they do not gather in one task.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"salted_join: {how}")
-    hot = hot_keys(left, key, share)
+    hot = hot_keys(left, key, share) if hot is None else hot
     salts = min(256, max(8, shuffle_width(left.sparkSession)))
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
