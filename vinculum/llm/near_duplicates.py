@@ -3,20 +3,23 @@
 Each text becomes a fingerprint of `positions` bytes: byte i is taken from the smallest value of hash function i over
 the text's word shingles, so two texts agree in byte i with (about) the probability of their Jaccard similarity, wherever
 the shared words stand; insertions and reordering do no harm. `width` neighbouring bytes and their position form the
-keys of an inverted index. The positions that two texts share are tallied, pairs with at least `least` of them are kept
-and verified on their whole texts by the exact similarity of their shingle sets.
+keys of an inverted index. The groups of positions that two texts share are tallied, pairs that reach the minimum which
+the threshold guarantees (least_matches()) are kept and verified on their whole texts by the exact similarity of their
+shingle sets. What is found is exact.
 
-With 200 positions, width 5 and least 2 the index finds, of pairs with similarity .66 / .7 / .75 / .8 / .9, on average
-96.8 % / 99.4 % / 99.97 % / 99.99 % / all (binomial tails); nothing else is lost, and what is found is exact.
+The guarantee is one of probability: missed() is the share of pairs of a similarity that stay under the minimum. With
+300 positions in groups of 5 and a minimum of 2 (threshold .6) that is 4.5 % at a similarity of .6, .29 % at .66, .02 % at
+.7; at a threshold of .8 the minimum is 7, and 3e-5 of the pairs at .8 are missed. More `positions` miss less.
 
 Texts with equal words are one class and take part once: copies neither lengthen the index's lists nor multiply pairs.
-A list longer than `hot` leaves the sorted walk and is paired in salted blocks.
+A list longer than `HOT` leaves the sorted walk and is paired in blocks of about `BLOCK`, as many as the list asks for.
 Words are runs of ASCII letters and digits, lower-cased. Null texts and texts under `min_words` words take no part.
 Repeated rows count once. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.operators.components import connected_components
+from vinculum.operators.skew import hot_keys, salted_join
 from vinculum.session import materialise
 
-#: Lists longer than this are paired in blocks; blocks per side.
-HOT, BLOCKS = 64, 16
+#: Lists longer than HOT are paired in blocks of about BLOCK.
+HOT, BLOCK = 64, 1024
+#: Share of pairs at the threshold that may stay under the minimum of matches, where that minimum is over 2.
+LOSS = 1e-4
 
 _SEPARATE = bytes(c if 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -77,29 +83,40 @@ def shingles_of(w: list[bytes], n: int) -> np.ndarray:
     return out
 
 
+def missed(similarity: float, lists: int, width: int, least: int) -> float:
+    """The probability that a pair of this similarity agrees in fewer than `least` of the groups of positions."""
+    p = (similarity + (1 - similarity) / 256) ** width
+    return sum(math.comb(lists, k) * p**k * (1 - p) ** (lists - k) for k in range(least))
+
+
+def least_matches(threshold: float, lists: int, width: int, loss: float = LOSS) -> int:
+    """The greatest minimum that all but `loss` of the pairs at the threshold reach, 2 at least."""
+    least = 2
+    while least < lists and missed(threshold, lists, width, least + 1) <= loss:
+        least += 1
+    return least
+
+
+def _factors(positions: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 2**31, (positions, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
 def fingerprint(text: str, n: int, positions: int) -> np.ndarray:
     """`positions` bytes; of a text shorter than a shingle, none."""
     s = (shingles(text, n) >> np.uint64(32)).astype(np.uint32)
-    if not len(s):
-        return np.empty(0, np.uint8)
-    rng = np.random.default_rng(11)
-    a, b = rng.integers(0, 2**31, positions, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, positions, dtype=np.uint32)
-    return _fingerprint(s, a, b)
-
-
-def _fingerprint(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(len(a), 2**32 - 1, np.uint32)
-    for i in range(0, len(s), 2048):  # long texts in blocks
-        x = s[i : i + 2048, None] * a
-        x += b
-        np.minimum(low, x.min(axis=0), out=low)
+    return _fingerprint(s, _factors(positions)) if len(s) else np.empty(0, np.uint8)
+
+
+def _fingerprint(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    low = np.full(len(factors), 2**32 - 1, np.uint32)
+    for i in range(0, len(s), 1024):  # long texts in blocks
+        np.minimum(low, (factors * s[i : i + 1024]).min(axis=1), out=low)
     return ((low >> np.uint32(5)) & np.uint32(255)).astype(np.uint8)
 
 
 def _postings(n: int, min_words: int, positions: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(11)
-        a, b = rng.integers(0, 2**31, positions, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, positions, dtype=np.uint32)
+        factors = _factors(positions)
         lists = positions // width
         place = np.arange(lists, dtype=np.int64) << 40
         shift = np.int64(1) << (8 * np.arange(width, dtype=np.int64))
@@ -118,7 +135,7 @@ def _postings(n: int, min_words: int, positions: int, width: int):
                 seen.add(cls)
                 s = (shingles_of(w, n) >> np.uint64(32)).astype(np.uint32)
                 if len(s):
-                    f = _fingerprint(s, a, b)[: lists * width].reshape(lists, width).astype(np.int64) @ shift
+                    f = _fingerprint(s, factors)[: lists * width].reshape(lists, width).astype(np.int64) @ shift
                     keys.append(f + place + (np.int64(cls & 1) << 50))
                     owners.append(cls)
             if keys:
@@ -226,20 +243,24 @@ def classes(texts: DataFrame, min_words: int, keep_text: bool = False) -> DataFr
     return rows.mapInArrow(_classify(min_words, keep_text), "cls long, id string" + ", text string" * keep_text)
 
 
-def similar_classes(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, min_words: int = 40, positions: int = 200, width: int = 5, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(kind 0/1, id, text) to the pairs of classes (a, b, similarity) and the members (cls, id)."""
+def similar_classes(texts: DataFrame, shingle: int = 5, threshold: float = 0.8, min_words: int = 40, positions: int = 300, width: int = 5, least: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kind 0/1, id, text) to the pairs of classes (a, b, similarity) and the members (cls, id).
+
+    least: the minimum of groups of positions that a pair shares, by the threshold if not given.
+    """
     if not 1 <= width <= 5 or positions // width > 1024 or shingle > 64:
         raise ValueError("near duplicates: width 1 to 5, at most 1024 lists, shingles of at most 64 words")
     min_words = max(min_words, shingle)
+    least = least or least_matches(threshold, positions // width, width)
     members = materialise(classes(texts, min_words).distinct())
     rows = texts.where("text is not null and id is not null").select("kind", "text")
     index = rows.mapInArrow(_postings(shingle, min_words, positions, width), "key long, cls long")
     walked = materialise(index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_pairs(HOT), "a long, b long, key long"))
     hot = walked.where("b is null").select("key", F.col("a").alias("cls"))
-    block = F.pmod(F.xxhash64("cls"), F.lit(BLOCKS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    left = hot.select("key", F.col("cls").alias("a"), block.alias("x"), every.alias("y"))
-    right = hot.select("key", F.col("cls").alias("b"), every.alias("x"), block.alias("y"))
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = hot.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    left = dealt.select("key", F.col("cls").alias("a"), F.col("own").alias("x"), F.col("other").alias("y"))
+    right = dealt.select("key", F.col("cls").alias("b"), F.col("other").alias("x"), F.col("own").alias("y"))
     more = left.join(right, ["key", "x", "y"]).where("a < b").select("a", "b")
     tally = walked.where("b is not null").select("a", "b").unionByName(more).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     pairs = materialise(tally.select("a", "b"))
@@ -258,9 +279,13 @@ def near_duplicate_pairs(texts: DataFrame, shingle: int = 5, threshold: float =
     Pairs of copies are expanded too; near_duplicate_groups() gives the same links in one row per record.
     """
     pairs, members = similar_classes(texts, shingle, threshold, min_words, **how)
+    # a class of many copies is split: its members on one side, what they meet copied to every part
+    hot = hot_keys(members, "cls")
     m = lambda c: members.select(F.col("cls").alias(c), F.col("id").alias(f"id_{c}"))
-    across = pairs.join(m("a"), "a").join(m("b"), "b").select((F.col("a").bitwiseAND(F.lit(1))).alias("kind"), "id_a", "id_b")
-    within = m("a").join(m("b"), F.col("a") == F.col("b")).where("id_a < id_b").select((F.col("a").bitwiseAND(F.lit(1))).alias("kind"), "id_a", "id_b")
+    kind = F.col("a").bitwiseAND(F.lit(1)).alias("kind")
+    across = salted_join(m("a"), pairs.select("a", "b"), "a", F.col("id_a"), "inner", hot=hot)
+    across = salted_join(across, m("b"), "b", F.col("id_a"), "inner", hot=hot).select(kind, "id_a", "id_b")
+    within = salted_join(m("a"), members.select(F.col("cls").alias("a"), F.col("id").alias("id_b")), "a", F.col("id_a"), "inner", hot=hot).where("id_a < id_b").select(kind, "id_a", "id_b")
     both = across.unionByName(within).where("id_a <> id_b")
     return both.select(F.col("kind").cast("int").alias("kind"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
