@@ -7,7 +7,7 @@ for it (typos, initials, nicknames, bare surnames, abbreviated, dropped or reord
 candidate beats that. Forms linked by attribution, or by a record that gives both as full names, are one entity.
 
 Candidates meet over blocks, at every size the same ones. A candidate is found under its surname, or under its telling
-words (its one or two rarest, without which no form is typed for it); a form looks under its surname, or under each of
+words (its one or two rarest, without which no form is typed for it; a slip is as common as the word it may stand for); a form looks under its surname, or under each of
 its words; all of them with any one letter left out. So no word is too common to meet over: what is common is telling
 for few candidates only. Blocks that many forms look into are salted. Forms are counted before they are joined, so a name
 that a third of all rows bear is one row there.
@@ -340,6 +340,18 @@ def _nicknames(rows: DataFrame) -> DataFrame:
     return sure.groupBy("given").agg(F.sort_array(F.collect_set("o_given")).alias("nicks"))
 
 
+def _word_counts(used: DataFrame) -> DataFrame:
+    """used (form, w) to (w, n): the forms of the most frequent word that w may be a slip of; a slip of a common word tells nothing."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(key=[_left_out(w) for w in b["w"]]).explode("key")
+
+    keyed = materialise(used.groupBy("w").agg(F.count("*").alias("n")).mapInPandas(spread, "w string, n long, key string"))
+    most = keyed.groupBy("key").agg(F.max("n").alias("n"))
+    return keyed.select("w", "key").join(most, "key").groupBy("w").agg(F.max("n").alias("n"))
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """names (id, type, name, canonical) to (id, entity, form): the same entity, the same name meant."""
     rows = materialise(parse(names))
@@ -349,8 +361,7 @@ def link_names(names: DataFrame) -> DataFrame:
     forms = materialise(forms)
     given = forms.where("kind = 'P'").groupBy("given").agg(F.count("*").alias("given_rows"))
     used = forms.where("kind = 'O'").select("form", F.explode("words").alias("w")).distinct()
-    often = used.groupBy("w").agg(F.count("*").alias("n"))
-    rarest = salted_join(used, often, "w", F.col("form"), "inner").groupBy("form").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2).alias("r"))
+    rarest = salted_join(used, _word_counts(used), "w", F.col("form"), "inner").groupBy("form").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, 2).alias("r"))
     telling = rarest.select("form", F.transform(F.filter("r", lambda x: x["n"] <= TELLING * F.col("r")[0]["n"]), lambda x: x["w"]).alias("telling"))
     none = F.array().cast("array<string>")
     forms = forms.join(given, "given", "left").join(telling, "form", "left").join(_nicknames(rows), "given", "left")
