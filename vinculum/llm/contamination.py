@@ -6,19 +6,24 @@ Words are runs of letters and digits, lower-cased; what stands between them is i
 cannot leak. Null or empty texts and items hold nothing. Repeated items and documents give the same rows once.
 
 The automaton is as large as the items (2 states a word at most). Items over `shard_words` words are split into several
-automata, each streamed in turn, so what a task holds is bounded whatever the number of items.
+automata. They are built, sent and released one after the other, so what the driver and a task hold is bounded whatever
+the number of items; the corpus is read once for each. An item of more words than that is one automaton of its own size.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.session import materialise
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,7 +54,24 @@ class Automaton:
         for s in sorted(range(len(ends)), key=self.length.__getitem__, reverse=True):
             if self.link[s] >= 0 and self.length[self.link[s]] >= min_words:
                 ends[self.link[s]] |= ends[s]
-        self.items = [tuple(sorted(e)) if n >= min_words else () for e, n in zip(ends, self.length)]
+        self.items = {s: tuple(sorted(e)) for s, (e, n) in enumerate(zip(ends, self.length)) if n >= min_words and e}
+        self._freeze()
+
+    def _freeze(self) -> None:
+        """Most states have one way on: it goes into arrays, the others into one dictionary."""
+        self.word, self.to, self.ways = array("i"), array("i"), {}
+        for s, follow in enumerate(self.next):
+            c, q = next(iter(follow.items()), (-1, 0))
+            self.word.append(c)
+            self.to.append(q)
+            if len(follow) > 1:
+                self.ways.update({s << 32 | c: q for c, q in follow.items()})
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
+
+    def step(self, state: int, c: int) -> int:
+        """The state after c, -1 if there is none."""
+        return self.to[state] if self.word[state] == c else self.ways.get(state << 32 | c, -1)
 
     def _new(self, length: int, link: int, follow: dict[int, int], ends: list[set[int]]) -> int:
         self.next.append(follow)
@@ -106,11 +128,13 @@ class Automaton:
             state = size = 0
             for k in range(i, j):
                 c = self.vocab[w[k]]
-                while state and c not in self.next[state]:
+                after = self.step(state, c)
+                while state and after < 0:
                     state = self.link[state]
                     size = self.length[state]
-                if c in self.next[state]:
-                    state = self.next[state][c]
+                    after = self.step(state, c)
+                if after >= 0:
+                    state = after
                     size += 1
                 if size >= m:
                     if spans and spans[-1][1] >= k + 1 - size:
@@ -119,7 +143,7 @@ class Automaton:
                         spans.append((k + 1 - size, k + 1))
                     s, n = state, size
                     while s > 0 and n >= m:
-                        for x in self.items[s]:
+                        for x in self.items.get(s, ()):
                             if longest.get(x, 0) < n:
                                 longest[x] = n
                         s = self.link[s]
@@ -127,62 +151,103 @@ class Automaton:
         return longest, spans
 
 
-def shards(items: DataFrame, min_words: int, shard_words: int) -> list[Automaton]:
-    """One automaton per `shard_words` words of items. The driver sees one shard's items at a time."""
+def shards(items: DataFrame, min_words: int, shard_words: int) -> tuple[int, Iterator[Automaton]]:
+    """How many automata there are, and one after the other; the driver holds one shard's items at a time."""
     clean = items.select("item_id", "item_text").where("item_id is not null and item_text is not null").distinct()
     total = clean.agg(F.sum(F.size(F.split("item_text", r"\s+")))).first()[0] or 0
     n = -(-total // shard_words) or 1
-    return [Automaton([tuple(r) for r in clean.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").collect()], min_words) for k in range(n)]
+    return n, (Automaton([tuple(r) for r in clean.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").collect()], min_words) for k in range(n))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, shard_words: int = 1_000_000) -> DataFrame:
-    """docs (doc_id, text), items (item_id, item_text) to (doc_id, item_id, longest): the longest common run in words."""
+def _scan(docs: DataFrame, items: DataFrame, min_words: int, shard_words: int, found, schema: str) -> DataFrame:
+    """The rows that found(automaton, doc_id, text) gives of every document and automaton."""
+    spark = docs.sparkSession
+    n, automata = shards(items, min_words, shard_words)
     out = None
-    for a in shards(items, min_words, shard_words):
-        held = docs.sparkSession.sparkContext.broadcast(a)
+    for a in automata:
+        held = spark.sparkContext.broadcast(a)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            names = [x.split()[0] for x in schema.split(", ")]
             for b in batches:
-                rows = [(d, i, n) for d, t in zip(b["doc_id"], b["text"]) for i, n in held.value.spans(words(t))[0].items()]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest"])
+                yield pd.DataFrame([r for d, t in zip(b["doc_id"], b["text"]) for r in found(held.value, d, t)], columns=names)
 
-        kind, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-        part = docs.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, item_id {item}, longest int")
+        part = docs.where("text is not null").select("doc_id", "text").mapInPandas(run, schema)
+        if n > 1:
+            part = materialise(part)
+            held.destroy()
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"))
+    return out
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, max_words: int = 50, max_share: float = 0.5, shard_words: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, shard_words: int = 250_000) -> DataFrame:
+    """docs (doc_id, text), items (item_id, item_text) to (doc_id, item_id, longest): the longest common run in words."""
+    kind, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    found = lambda a, doc, text: [(doc, i, n) for i, n in a.spans(words(text))[0].items()]
+    rows = _scan(docs, items, min_words, shard_words, found, f"doc_id {kind}, item_id {item}, longest int")
+    return rows.groupBy("doc_id", "item_id").agg(F.max("longest").alias("longest"))
+
+
+def _cut(text: str, found: list[tuple[int, int]], max_words: int, max_share: float) -> tuple:
+    """(text without the spans, spans, words in them, words, dropped)."""
+    at = [m.span() for m in WORD.finditer(text)]
+    spans: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if spans and i <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(j, spans[-1][1]))
+        else:
+            spans.append((i, j))
+    leaked = sum(j - i for i, j in spans)
+    drop = any(j - i > max_words for i, j in spans) or leaked > max_share * max(1, len(at))
+    kept, end = [], 0
+    for i, j in spans:
+        kept.append(text[end : at[i][0]])
+        end = at[j - 1][1]
+    return None if drop else "".join([*kept, text[end:]]), len(spans), leaked, len(at), drop
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, min_words: int = 13, max_words: int = 50, max_share: float = 0.5, shard_words: int = 250_000) -> DataFrame:
     """docs (doc_id, text) to (doc_id, text, n_spans, leaked_words, n_words, dropped).
 
     Every leaked span is cut out of the text. A document is dropped (its text is null) if one span is longer than
     `max_words` or the spans hold more than `max_share` of its words. Documents without a leak come out as they are.
+    With one automaton the texts are cut as they stream by. With several the spans of each are written down and brought
+    to the documents by a join, in which only few documents have a partner.
     """
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in shards(items, min_words, shard_words)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "text", "n_spans", "leaked_words", "n_words", "dropped"]
+    n, automata = shards(items, min_words, shard_words)
+    if n == 1:
+        held = docs.sparkSession.sparkContext.broadcast(next(automata))
+        rows = docs.select("doc_id", "text", F.lit(None).cast("array<array<int>>").alias("spans"))
+    else:
+        held = None
+        found = lambda a, doc, text: [(doc, text_key(text), i, j) for i, j in a.spans(words(text))[1]]
+        spans = _scan(docs, items, min_words, shard_words, found, f"doc_id {kind}, k long, i int, j int").distinct()
+        spans = materialise(spans.groupBy("doc_id", "k").agg(F.collect_list(F.array("i", "j")).alias("spans")))
+        rows = docs.select("doc_id", "text", _keys("text").alias("k")).join(spans, ["doc_id", "k"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                if not isinstance(text, str):
-                    rows.append((doc, None, 0, 0, 0, False))
-                    continue
-                at = [m.span() for m in WORD.finditer(text)]
-                w = words(text)
-                spans: list[tuple[int, int]] = []
-                for i, j in sorted(s for a in automata for s in a.value.spans(w)[1]):
-                    if spans and i <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(j, spans[-1][1]))
-                    else:
-                        spans.append((i, j))
-                leaked = sum(j - i for i, j in spans)
-                drop = any(j - i > max_words for i, j in spans) or leaked > max_share * max(1, len(w))
-                kept, end = [], 0
-                for i, j in spans:
-                    kept.append(text[end : at[i][0]])
-                    end = at[j - 1][1]
-                rows.append((doc, None if drop else "".join([*kept, text[end:]]), len(spans), leaked, len(w), drop))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "n_spans", "leaked_words", "n_words", "dropped"])
+            out = []
+            for doc, text, given in zip(b["doc_id"], b["text"], b["spans"]):
+                if isinstance(text, str):
+                    found = held.value.spans(words(text))[1] if held else [] if given is None else [tuple(map(int, x)) for x in given]
+                    out.append((doc, *_cut(text, found, max_words, max_share)))
+                else:
+                    out.append((doc, None, 0, 0, 0, False))
+            yield pd.DataFrame(out, columns=columns)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, n_spans int, leaked_words int, n_words int, dropped boolean")
+    return rows.mapInPandas(run, f"doc_id {kind}, text string, n_spans int, leaked_words int, n_words int, dropped boolean")
+
+
+def text_key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _keys(column: str):
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_key(t) if isinstance(t, str) else 0 for t in texts], dtype="int64")
+
+    return keys(column)

@@ -92,8 +92,13 @@ def split_text(text: str, limit: int, overlap: int, enc, size: np.ndarray) -> li
         starts, ends = cuts(n, limit, overlap, strength, k)
         if all(e - s <= limit for s, e in zip(starts, ends)) and all(strength[e] >= 0 for e in ends[:-1]):
             pieces = [(int(chars[s]), int(chars[e])) for s, e in zip(starts, ends)]
-            own = [len(enc.encode_ordinary(text[a:b])) for a, b in pieces]
-            if max(own) <= limit:
+            own, order = {}, sorted(range(k), key=lambda i: starts[i] - ends[i])
+            for i in order:  # the longest first, and no more of a try that failed
+                own[i] = len(enc.encode_ordinary(text[pieces[i][0] : pieces[i][1]]))
+                if own[i] > limit:
+                    break
+            else:
+                own = [own[i] for i in range(k)]
                 return [(a, b, t) for (a, b), t in zip(pieces, own)]
         if k >= min(n - overlap, whole) or k > 4 * (n // max(1, limit - overlap) + 4):
             break
