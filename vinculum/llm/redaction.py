@@ -8,8 +8,9 @@ There are no labelled texts, so the trees are fitted on candidates that labellin
 signature lines, addresses of mail that spell the name beside them, labels before numbers on the one side; case names,
 organisations, courts, invoices, sections and exhibits on the other. What a rule says nothing about is left to the trees.
 They are fitted on the candidates of a random sample of about `SAMPLE` texts (by hash), the only part that does not see all
-rows. The given names that a sure context shows are counted over all texts, and those with at least 1/`GIVEN` of all
-such mentions go to the tasks, so at most `GIVEN` names.
+rows, and of a few made texts with signs that are no mail addresses. Given names that a sure context shows, and words
+written small, are counted over all texts in two count-min sketches of a fixed size (`BUCKETS`), which hold every name
+and word; a word that is common in small letters is hardly a name where all letters are capitals.
 
 Whole texts are read. Null texts stay null, empty ones empty; repeated rows come out as often as they come in, and count
 once in find_personal(). Names inside mail addresses are part of those.
@@ -24,12 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.llm.boosting import Boosted
 
-SAMPLE, GIVEN = 4_000, 10_000
+SAMPLE = 4_000
+#: Counters in each of the two rows of a sketch.
+BUCKETS = 1 << 18
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Words that tell what stands beside them.
@@ -68,7 +72,10 @@ _BEFORE = re.compile(r"([\w.&'’/#:]+)[ \n*|(\[\"]*$")
 _AFTER = re.compile(r"^[ \n,*|)\]\"]*([\w.&'’/#]+)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MAIL_NEAR = re.compile(r"^[\s,\-(<|*]*(?:e-?mail|at|mail)?[\s:\-(<|]*(?:\n?\|? ?(?:Phone|Mail)[^\n]*\n\|? ?(?:Mail \|)? ?)?([A-Za-z0-9_%+\-.]+?)(?:@|\s?[\[(]at)", re.I)
-N_FEATURES = 30
+_LOOSE_HOST = re.compile(r"[A-Za-z0-9\-]+(?:[.:][A-Za-z0-9\-]+)*")
+_LOOSE_PLACE = re.compile(rf"\d{{1,5}} {_CAP}(?: {_CAP}){{0,2}}")
+_SMALL = re.compile(r"(?<![^\W\d_])[a-zß-öø-ÿ]{2,}(?![^\W\d_])")
+N_FEATURES = 33
 
 
 def fold(s: str) -> str:
@@ -95,6 +102,8 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
         local, host = _LOCAL.search(text[start : sign.start()]), _HOST.match(text, sign.end())
         if local and host and (sign[0] != "@" or not (local[0][-1].isspace() or host[0][0].isspace())):
             out.append((0, start + local.start(), host.end(), 0))
+        elif sign[0] == "@" and local and not local[0][-1].isspace() and (host := _LOOSE_HOST.match(text, sign.end())):
+            out.append((0, start + local.start(), host.end(), 1))
     spans = set()
     for m in _DIGITS.finditer(text):
         for kind, pattern in ((1, _PHONE), (2, _NUMBER)):
@@ -107,23 +116,57 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
             x = _ADDRESS.search(text, x.end(), min(len(text), m.end() + 140))
         if x:
             spans.add((3, *x.span(), 0))
+        else:  # a number before capitals
+            a = m.start()
+            while a and text[a - 1].isdigit():
+                a -= 1
+            if (x := _LOOSE_PLACE.match(text, a)) and (not a or not (text[a - 1].isalnum() or text[a - 1] in "$._")):
+                spans.add((3, *x.span(), 1))
     out += sorted(spans)
-    shouted = None
-    for a, b, pattern in names(text):
-        if text[a + 1 : a + 2].isupper():
-            shouted = _shouted(text) if shouted is None else shouted
-            if any(x <= a < y for x, y in shouted):
-                continue
-        out.append((4, a, b, pattern))
+    out += [(4, *name) for name in names(text)]
     return out
 
 
-def _shouted(text: str) -> list[tuple[int, int]]:
-    """Passages of five and more words in capitals, in which capitals tell nothing."""
-    return [m.span() for m in re.finditer(r"(?:\b[A-Z'\-]{1,}\b[ ,.]+){5,}", text)]
+_CAPITALS = re.compile(r"(?:\b[A-ZÀ-ÖØ-Þ'’\-]+\b[ ,.\n]+){3}$"), re.compile(r"(?:[ ,.\n]+\b[A-ZÀ-ÖØ-Þ'’\-]+\b){3}")
+
+
+def _shouted(text: str, a: int, b: int) -> bool:
+    """Whether three words in capitals stand before or after, where capitals tell little."""
+    return bool(_CAPITALS[0].search(text[max(0, a - 60) : a]) or _CAPITALS[1].match(text[b : b + 60]))
+
+
+class Sketch:
+    """Count-min over words: two rows of counters."""
+
+    def __init__(self, rows: np.ndarray | None = None):
+        self.rows = np.zeros((2, BUCKETS), np.int64) if rows is None else rows
+        self.known: dict[str, int] = {}
+
+    @staticmethod
+    def places(word: str) -> tuple[int, int]:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h % BUCKETS, (h >> 32) % BUCKETS
 
+    def add(self, word: str, n: int) -> None:
+        x, y = self.places(word)
+        self.rows[0, x] += n
+        self.rows[1, y] += n
 
-def features(text: str, cand: tuple[int, int, int, int], given: dict[str, int]) -> list[float]:
+    def get(self, word: str, other: int = 0) -> int:
+        """The count, at least 2; `other` if it is none."""
+        n = self.known.get(word)
+        if n is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            x, y = self.places(word)
+            self.known[word] = n = int(min(self.rows[0, x], self.rows[1, y]))
+        return n if n > 1 else other
+
+    def __getstate__(self):
+        return {"rows": self.rows, "known": {}}
+
+
+def features(text: str, cand: tuple[int, int, int, int], given: Sketch, small: Sketch) -> list[float]:
     kind, a, b, pattern = cand
     span = text[a:b]
     before, after = text[max(0, a - 45) : a], text[b : b + 45]
@@ -160,6 +203,8 @@ def features(text: str, cand: tuple[int, int, int, int], given: dict[str, int])
         f[28] = len(full)
         f[22] = 1.0 if span.isupper() else 0.0
         f[23] = 1.0 if len(full) > 1 and _spelt(after, full) else 0.0
+        if f[22] and _shouted(text, a, b):
+            f[30], f[31], f[32] = 1.0, np.log1p(small.get(full[0], 0)), np.log1p(small.get(full[-1], 0)) if len(full) > 1 else 0.0
         f[24] = 1.0 if text.rfind("#", max(0, a - 80), a) > text.rfind("\n", max(0, a - 80), a) else 0.0
     elif kind in (1, 2):
         f[25] = 1.0 if PHONE_LABEL.search(before) else 0.0
@@ -167,6 +212,12 @@ def features(text: str, cand: tuple[int, int, int, int], given: dict[str, int])
         f[27] = 1.0 if OTHER_LABEL.search(before) else 0.0
         f[28] = 1.0 if span[0].isalpha() else 0.0
         f[29] = len(re.findall(r"[ .\-/()]+", span)) + (3.0 if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", span) else 0.0)
+    elif kind == 0:
+        tail = re.split(r"[.\s\])]", span.rstrip("."))[-1]
+        f[30] = len(tail) if tail.isalpha() else 0
+        f[31] = 1.0 if before[-1:] in ("`", "@", "/", ":") and not before.lower().endswith("mailto:") or after[:1] in (":", "/", "`") and not after[1:2].isspace() else 0.0
+    elif kind == 3:
+        f[31] = 1.0 if re.search(r"\b(?:Rooms?|Sections?|Exhibits?|Nos?\.|Chapters?|Parts?|Articles?) $", before) else 0.0
     return f
 
 
@@ -183,6 +234,10 @@ def label(text: str, cand: tuple[int, int, int, int], f: list[float]) -> int | N
     if kind == 4:
         if f[6] or f[7] or f[8] or f[5] or (f[4] and not f[2]):
             return 0
+        if f[30] and not f[23]:  # all is in capitals: a known given name beside a word that is never written small
+            known = f[20] if cand[3] == 1 else f[19]
+            other = f[31] if cand[3] == 1 else f[32]
+            return 0 if f[31] and f[32] or f[28] > 1 and not known or f[28] + f[21] < 2 else 1 if known > 1 and not other else None
         if f[23] or f[2] and not f[9]:
             return 1
         if f[3] and cand[3] == 2 and not f[9] and not f[11]:
@@ -204,34 +259,43 @@ def label(text: str, cand: tuple[int, int, int, int], f: list[float]) -> int | N
         return 0 if f[27] or f[26] else 1 if f[25] else None
     if kind == 2:
         return 0 if f[25] else 1 if f[26] else 0 if f[27] else None
-    return 1
+    if kind == 0:
+        return 0 if cand[3] or f[30] < 2 or f[31] else 1
+    return 0 if cand[3] or f[7] or f[8] or f[31] else 1
 
 
 class Model:
-    """The trees, the thresholds by kind, and the given names."""
-
-    def __init__(self, given: dict[str, int], rows: list[tuple[list[float], int]], seed: int = 0):
-        self.given = given
-        self.boosted, self.thresholds = None, np.full(len(KINDS), 0.5)
-        if rows:
-            x, y = np.array([r[0] for r in rows], np.float64), np.array([r[1] for r in rows], np.float64)
+    """Trees and thresholds by kind, and the counts of given names and of words written small."""
+
+    def __init__(self, given: Sketch, small: Sketch, rows: list[tuple[list[float], int]], seed: int = 0):
+        self.given, self.small = given, small
+        self.boosted, self.thresholds = {}, np.full(len(KINDS), 0.5)
+        for kind in range(len(KINDS)):
+            own = [r for r in rows if r[0][0] == kind]
+            if not own:
+                continue
+            x, y = np.array([r[0] for r in own], np.float64), np.array([r[1] for r in own], np.float64)
             order = np.random.default_rng(seed).permutation(len(y))
             x, y = x[order], y[order]
             # rules speak by context; trees that see it on some rows only learn what the spans look like elsewhere
             hide = np.random.default_rng(seed + 1).random(len(y)) < 0.5
             x[np.ix_(hide, [2, 23, 25, 26])] = 0
             cut = max(1, len(y) * 3 // 4)
-            self.boosted = Boosted().fit(x[:cut], y[:cut])
+            self.boosted[kind] = Boosted().fit(x[:cut], y[:cut])
             if cut < len(y):
-                self.thresholds = self.boosted.calibrate(x[cut:], y[cut:], x[cut:, 0].astype(int), len(KINDS))
+                self.thresholds[kind] = self.boosted[kind].calibrate(x[cut:], y[cut:], np.zeros(len(y) - cut, int), 1)[0]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(kind, start, end) of what is personal in each text, in order, without overlap."""
         found = [candidates(t) for t in texts]
-        x = [features(t, c, self.given) for t, cs in zip(texts, found) for c in cs]
-        if not x or self.boosted is None:
+        x = [features(t, c, self.given, self.small) for t, cs in zip(texts, found) for c in cs]
+        if not x or not self.boosted:
             return [[] for _ in texts]
-        p = self.boosted.predict(np.array(x, np.float64))
+        x, p = np.array(x, np.float64), np.zeros(len(x))
+        for kind, trees in self.boosted.items():
+            own = x[:, 0] == kind
+            if own.any():
+                p[own] = trees.predict(x[own])
         out, i = [], 0
         for cs in found:
             # mail and street addresses hold what looks like names; a longer span goes first among equals
@@ -245,44 +309,62 @@ class Model:
         return out
 
 
-def _given_names(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Given names in sure contexts, counted over all texts, at most GIVEN of them; and how many texts there are."""
+def _counted(texts: DataFrame) -> tuple[Sketch, Sketch, int]:
+    """Given names in sure contexts and words written small, counted over all texts; and how many texts there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given, small, n = Counter(), Counter(), 0
+        sketches = Sketch(), Sketch()
         for b in batches:
-            seen: Counter = Counter({"": len(b)})
+            n += len(b)
             for text in b["text"]:
+                small.update(_SMALL.findall(text))
                 for a, e, g in names(text):
                     if g == 2:
                         continue
                     w = [x for x in (fold(x) for x in _LETTERS.findall(text[a:e])) if len(x) > 1]
                     if len(w) == 2 and (FIELD.search(text[max(0, a - 45) : a]) or _spelt(text[e : e + 90], w[-1:] if g == 0 else w[:1])) and not ORGANISATION.search(text[a:e]):
-                        seen[w[g]] += 1
-            yield pd.DataFrame({"w": list(seen), "n": list(seen.values())}, columns=["w", "n"])
+                        given[w[g]] += 1
+            for counter, sketch in zip((given, small), sketches):
+                for w, k in counter.items():
+                    sketch.add(fold(w), k)
+                counter.clear()
+        rows = [(which, r, i, sketch.rows[r, i]) for which, sketch in enumerate(sketches) for r in (0, 1) for i in np.flatnonzero(sketch.rows[r])]
+        yield pd.DataFrame([*rows, (2, 0, 0, n)], columns=["which", "r", "i", "n"])
+
+    counts = texts.where("text is not null").select("text").mapInPandas(run, "which int, r int, i int, n long").groupBy("which", "r", "i").agg(F.sum("n").alias("n"))
+    got = counts.toPandas()  # at most 4 * BUCKETS rows
+    out = []
+    for which in (0, 1):
+        own = got[got["which"] == which]
+        rows = np.zeros((2, BUCKETS), np.int64)
+        rows[own["r"], own["i"]] = own["n"]
+        out.append(Sketch(rows))
+    return out[0], out[1], int(got.loc[got["which"] == 2, "n"].sum())
+
 
-    counts = texts.where("text is not null").select("text").mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    counts = counts.where("n >= 2 or w = ''").cache()
-    total = counts.where("w <> ''").agg(F.sum("n")).first()[0] or 0
-    got = {r["w"]: r["n"] for r in counts.where((F.col("w") == "") | (F.col("n") >= total / GIVEN)).collect()}
-    counts.unpersist()
-    n = got.pop("", 0)
-    return got, n
+def made_texts(seed: int) -> list[str]:
+    """Signs that are no mail addresses, which a corpus may lack."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(3, 9)))
+    forms = ("run {}@v{}.{} again", "clone git@{}:{}/{} first", "the image {}@sha256:{}{}", "log in as {}@localhost, port {}{}", "@{}.{}({})", "pairs {}@{} and {}", "see `{}@{}.{}` there", "{}@{}.{} is the matrix product")
+    return [form.format(word(), rng.integers(1, 99) if "@v" in form or "port" in form else word(), word()[: rng.integers(1, 3)] if "matrix" in form or "@{}.{}(" in form else word()) for form in forms for _ in range(25)]
 
 
 def fit(texts: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Model:
     """texts (kind, id, text) to a model."""
-    given, n = _given_names(texts)
+    given, small, n = _counted(texts)
     # a share by hash, so that no task sends more than its part of the sample
     low = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, sample / max(1, n)) * (1 << 40))
-    some = texts.where(F.col("text").isNotNull() & low).select("text").limit(2 * sample).toPandas()["text"]
+    some = texts.where(F.col("text").isNotNull() & low).select("text").limit(2 * sample).toPandas()["text"].tolist()
     rows = []
-    for t in some:
+    for t in some + made_texts(seed) if some else []:
         for c in candidates(t):
-            f = features(t, c, given)
+            f = features(t, c, given, small)
             y = label(t, c, f)
             if y is not None:
                 rows.append((f, y))
-    return Model(given, rows, seed)
+    return Model(given, small, rows, seed)
 
 
 def find_personal(texts: DataFrame, model: Model | None = None) -> DataFrame:
