@@ -56,7 +56,23 @@ def test_states_blanks_and_clashing_columns(spark):
     assert {r["id"]: r["parent"] for r in links.collect()} == {"a": None, "b": "a", "c": None}
 
 
-def test_descendants(spark):
-    tree = H.hierarchy(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string"))
-    assert {tuple(r) for r in H.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
-    assert H.tree_report(tree).first()["n_nodes"] == 3
+def above(parents):
+    out = set()
+    for k in parents:
+        x, seen = parents[k], {k}
+        n = 1
+        while x is not None and x in parents and x not in seen:
+            out.add((x, k, n))
+            seen.add(x)
+            x, n = parents[x], n + 1
+    return out
+
+
+@pytest.mark.parametrize("task_rows", [1000, 20])
+def test_descendants_of_trees_and_loops(spark, task_rows):
+    rng = random.Random(6)
+    ids = [f"n/{i:02d}" for i in range(40)]
+    parents = {k: rng.choice([None, "lost", *[rng.choice(ids) for _ in range(16)]]) for k in ids} | {f"r{i:02d}": f"r{(i + 1) % 25:02d}" for i in range(25)} | {"x": "r03", "y": "x", "s": "s"}
+    df = spark.createDataFrame(list(parents.items()), "id string, parent string")
+    assert {tuple(r) for r in H.descendants(df, task_rows).collect()} == above(parents)
+    assert H.tree_report(H.hierarchy(df)).count() > 1

@@ -38,8 +38,12 @@ def p1_composite(spark: SparkSession, d: str) -> DataFrame:
     return R.find_orphans(parent, [ref])
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return H.current_links(table(spark, d, "graph_communities"), "community_id", "parent_community_id", "updated_at", "created_at")
+
+
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(H.current_links(table(spark, d, "graph_communities"), "community_id", "parent_community_id", "updated_at", "created_at"))
+    return H.hierarchy(_links(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +51,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendants(_communities(spark, d)).withColumnRenamed("id", "community_id")
+    return H.descendants(_links(spark, d)).withColumnRenamed("id", "community_id")
 
 
 def p5_trees(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +111,7 @@ agreed AS (SELECT r.row_id, r.created_at, count(d.born) AS n, coalesce(bool_or(N
 SELECT DISTINCT 'raw_entities.(source_schema,document_id)' AS ref_field, row_id, strftime(created_at AT TIME ZONE 'UTC', '%Y-%m') AS period, CASE WHEN n = 0 THEN 'missing' WHEN NOT live THEN 'deleted' ELSE 'late' END AS reason
 FROM agreed WHERE n = 0 OR NOT live OR born > created_at""",
     "p5_found": f"WITH RECURSIVE {_P5} SELECT * FROM tree",
-    "p5_descendants": f"WITH RECURSIVE {_P5}, steps AS (SELECT community_id, depth, string_split(path, '/') AS p FROM tree), pairs AS (SELECT community_id, depth, unnest(p) AS ancestor_id, generate_subscripts(p, 1) - 1 AS pos FROM steps) SELECT ancestor_id, community_id, CAST(depth - pos AS INTEGER) AS distance FROM pairs WHERE ancestor_id <> community_id",
+    "p5_descendants": f"WITH RECURSIVE {_P5}, pairs AS (SELECT id, unnest(trail) AS ancestor_id, generate_subscripts(trail, 1) - 1 AS distance FROM last) SELECT ancestor_id, id AS community_id, CAST(distance AS INTEGER) AS distance FROM pairs WHERE distance > 0",
     "p5_trees": f"WITH RECURSIVE {_P5} SELECT root_id, count(*) AS n_nodes, max(depth) AS max_depth, count(*) FILTER (state = 'tree') AS n_tree, count(*) FILTER (state = 'dangling') AS n_dangling, count(*) FILTER (state = 'cycle') AS n_cycle, count(*) FILTER (state = 'below_cycle') AS n_below_cycle FROM tree GROUP BY root_id",
     "p5_wrong_levels": f"WITH RECURSIVE {_P5} SELECT t.community_id, u.level, t.depth FROM tree t JOIN up u ON u.id = t.community_id WHERE state = 'tree' AND u.level IS DISTINCT FROM t.depth",
 }
