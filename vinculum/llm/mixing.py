@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculum.llm.tokens import TOKENIZER, count_tokens
@@ -43,13 +43,13 @@ def plan_rates(plan: DataFrame, totals: DataFrame, total_tokens: float | None) -
 
 
 def draw(docs: DataFrame, plan: DataFrame, total_tokens: float | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[dict]]:
-    """docs (doc_id, source, text) to (doc_id, source, text_key, tokens, copies), copies from 0 on, and the rates of plan_rates().
+    """docs (doc_id, source, text) to (doc_id, source, k1, k2, tokens, copies), copies from 0 on, and the rates of plan_rates().
 
     total_tokens: the size to draw; the tokens of all planned sources if not given.
     """
     named = plan.select("source").where("source is not null").distinct().limit(MAX_SOURCES)
     ours = docs.select("doc_id", "source", "text").join(F.broadcast(named), "source", "left_semi")
-    sized = materialise(ours.select("doc_id", "source", _key().alias("text_key"), count_tokens("text", tokenizer).alias("tokens")))
+    sized = materialise(ours.select("doc_id", "source", *_key(), count_tokens("text", tokenizer).alias("tokens")))
     rates = plan_rates(plan, sized.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n_docs")), total_tokens)
     spark = docs.sparkSession
     rate = spark.createDataFrame([(r["source"], r["rate"], random.Random(f"{seed}/{r['source']}").random()) for r in rates], "source string, rate double, offset double")
@@ -62,26 +62,25 @@ def draw(docs: DataFrame, plan: DataFrame, total_tokens: float | None = None, se
     ranked = blocks.withColumn("k", F.row_number().over(w)).join(F.broadcast(sums), ["source", "block"]).join(F.broadcast(rate), "source")
     due = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
     rank = F.col("start") + F.col("k")
-    return ranked.select("doc_id", "source", "text_key", "tokens", (due(rank) - due(rank - 1)).cast("int").alias("copies")), rates
+    return ranked.select("doc_id", "source", "k1", "k2", "tokens", (due(rank) - due(rank - 1)).cast("int").alias("copies")), rates
 
 
-def _key():
-    return F.xxhash64("text")
+def _key() -> list[Column]:
+    """96 bits of the id and the text, nulls included; with the source they tell rows apart."""
+    return [F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")]
 
 
 def mix(docs: DataFrame, plan: DataFrame, **how) -> DataFrame:
     """The mixed corpus: (doc_id, source, copy_no, tokens, text), one row per copy.
 
-    Rows alike in all three columns are one to the join: it brings the copies of all of them, numbered on.
+    Rows alike in all three columns are one to the join, which brings the copies of all of them, numbered on. The texts are
+    shuffled once: what makes them one row is the join's key too.
     """
     drawn, _ = draw(docs, plan, **how)
-    key = ["doc_id", "source", "text_key"]
-    # null ids and texts are keys like others
-    safe = lambda c: F.col(c).alias(f"_{c}")
-    some = drawn.where("copies > 0").groupBy(*key).agg(F.max("tokens").alias("tokens"), F.sum("copies").cast("int").alias("copies")).select(*(safe(c) for c in key), "tokens", "copies")
-    rows = docs.select("doc_id", "source", _key().alias("text_key"), "text").dropDuplicates(key)
-    out = rows.join(some, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("source") == F.col("_source")) & (F.col("text_key") == F.col("_text_key")))
-    return out.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "tokens", "text")
+    key = ["source", "k1", "k2"]
+    some = drawn.where("copies > 0").groupBy(*key).agg(F.max("tokens").alias("tokens"), F.sum("copies").cast("int").alias("copies"))
+    rows = docs.where("source is not null").select("doc_id", "source", *_key(), "text").dropDuplicates(key)
+    return rows.join(some, key).select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy_no"), "tokens", "text")
 
 
 def shares(docs: DataFrame, plan: DataFrame, **how) -> DataFrame:
