@@ -13,13 +13,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _ID = "nullif(lower(trim({})), '')"
 VIEWS = {
-    "nodes": "SELECT node_id, node_type, title, description, source_type, node_degree, rank_score, client_id, metadata, year(created_at) AS created_year FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC) AS r FROM graph_nodes) AS x WHERE r = 1",
+    "nodes": "SELECT node_id, node_type, title, description, source_type, node_degree, rank_score, client_id, metadata, year(created_at) AS created_year FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY updated_at DESC, created_at DESC) AS r FROM graph_nodes) AS x WHERE r = 1",
     "edges": f"SELECT DISTINCT edge_id, {_ID.format('source_node_id')} AS source, {_ID.format('target_node_id')} AS target, relationship_type, weight, coalesce(confidence_score, 0.7) AS confidence, extraction_method, evidence FROM graph_edges",
     "chunks": f"SELECT DISTINCT chunk_id, {_ID.format('document_id')} AS document_id, chunk_index, content, content_type, token_count, chunk_size, overlap_size, client_id FROM graph_chunks",
     "entities": f"SELECT DISTINCT entity_id, upper(trim(entity_type)) AS entity_type, entity_text, canonical_name, coalesce(confidence_score, 0.95) AS confidence, {_ID.format('document_id')} AS document_id, source_schema, case_id FROM raw_entities",
-    "docs": "SELECT document_id, title, document_type, source_schema, status, processing_status, client_id, case_id, court_name, citation, content_md, chunk_count, entity_count, graph_built, metadata, year(created_at) AS created_year FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC) AS r FROM document_registry) AS x WHERE r = 1",
+    "docs": "SELECT document_id, title, document_type, source_schema, status, processing_status, client_id, case_id, court_name, citation, content_md, chunk_count, entity_count, graph_built, metadata, year(created_at) AS created_year FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC, created_at DESC) AS r FROM document_registry) AS x WHERE r = 1",
     "cites": f"SELECT DISTINCT id, {_ID.format('citing_document_id')} AS citing, {_ID.format('cited_document_id')} AS cited, citation_text, page_number FROM law_citations",
-    "comms": f"SELECT community_id, title, summary, level, {_ID.format('parent_community_id')} AS parent, node_count, edge_count, coherence_score FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY updated_at DESC) AS r FROM graph_communities) AS x WHERE r = 1",
+    "comms": f"SELECT community_id, title, summary, level, {_ID.format('parent_community_id')} AS parent, node_count, edge_count, coherence_score FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY updated_at DESC, created_at DESC) AS r FROM graph_communities) AS x WHERE r = 1",
     # every node belongs to the communities that end in the same two digits
     "members": "SELECT n.node_id, c.community_id, round((ascii(substr(n.node_id, 8, 1)) % 10) / 10.0 + 0.05, 2) AS strength FROM nodes n JOIN comms c ON right(n.node_id, 2) = right(c.community_id, 2)",
     "simple": "SELECT a, b, max(weight) AS weight FROM (SELECT least(source, target) AS a, greatest(source, target) AS b, coalesce(weight, 0.5) AS weight FROM edges WHERE source <> target) AS x WHERE a IN (SELECT node_id FROM nodes) AND b IN (SELECT node_id FROM nodes) GROUP BY a, b",
@@ -28,6 +28,22 @@ VIEWS = {
 }
 
 
+#: Relations of repeated rows, by the key that tells records apart. Only what is asked for stands beside it.
+KEYS = {"edges": "edge_id", "chunks": "chunk_id", "entities": "entity_id", "cites": "id"}
+
+
+def _narrow(view: str, users: str) -> str:
+    """The view's text with its key and the columns that `users` names; all of them if a star is among those."""
+    text = VIEWS[view]
+    if view not in KEYS or re.search(r"(?:SELECT|,|\.)\s*\*", users):
+        return text
+    inner, source = text.removeprefix("SELECT DISTINCT ").rsplit(" FROM ", 1)
+    items = re.split(r", (?![^()]*\))", inner)
+    name = lambda item: item.rsplit(" AS ", 1)[-1]
+    kept = [i for i in items if name(i) == KEYS[view] or re.search(rf"\b{name(i)}\b", users)]
+    return f"SELECT DISTINCT {', '.join(kept)} FROM {source}"
+
+
 def expanded(sql: str) -> str:
     """The statement with the relations it uses put before it."""
     need: list[str] = []
@@ -41,7 +57,8 @@ def expanded(sql: str) -> str:
     visit(sql)
     if not need:
         return sql
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in need)
+    users = " ".join([sql, *(VIEWS[v] for v in need if v not in KEYS)])
+    ctes = ", ".join(f"{v} AS ({_narrow(v, users)})" for v in need)
     if m := re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql):
         return f"WITH {m[1] or ''}{ctes}, {sql[m.end() :]}"
     return f"WITH {ctes} {sql}"
@@ -62,6 +79,9 @@ class Relations:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        if name in KEYS:  # one row per key; columns that nobody asks for are pruned below it
+            register(self.spark, self.sf_dir, TABLES)
+            return self.spark.sql(VIEWS[name].replace("SELECT DISTINCT", "SELECT")).dropDuplicates([KEYS[name]])
         return self.sql(f"SELECT * FROM {name}")
 
 

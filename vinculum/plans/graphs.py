@@ -176,15 +176,14 @@ _pr = "t AS (SELECT src, sum(weight) AS w FROM twoway GROUP BY 1), n AS (SELECT
 _prs = ", ".join(f"g{i} AS (SELECT dst, sum(x * weight / w) AS g FROM r{i} JOIN twoway ON src = node_id JOIN t USING (src) GROUP BY 1), l{i} AS (SELECT coalesce(sum(x), 0) AS l FROM r{i} WHERE node_id NOT IN (SELECT src FROM t)), r{i + 1} AS (SELECT r{i}.node_id, 0.15 / n + 0.85 * (coalesce(g, 0) + l / n) AS x FROM r{i} LEFT JOIN g{i} ON dst = r{i}.node_id, l{i}, n)" for i in range(5))
 add("pagerank", lambda r: G.pagerank(simple(r), r.nodes, 5).select("node_id", _r(F.col("rank") * 1000, 5).alias("rank")), f"WITH {_pr}, {_prs} SELECT node_id, round(x * 1000, 5) AS rank FROM r5")
 add("eigenvector_centrality", lambda r: G.eigenvector(simple(r), 10))
-_top = lambda r: G.simple_graph(r.edges.where("confidence >= 0.9 and weight >= 0.9").select("source", "target", "weight", F.lit(0).alias("ord")), r.nodes)
-add("betweenness", lambda r: G.path_measures(_top(r), r.nodes.count()).select("node_id", "betweenness"))
-add("closeness", lambda r: G.path_measures(_top(r), r.nodes.count()).select("node_id", "closeness"))
-add("diameter_radius", lambda r: G.path_measures(_top(r), r.nodes.count()).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.max("reached").alias("largest")))
-add("bridges", lambda r: r.spark.createDataFrame([(*x, "bridge") for x in G.bridges(_top(r))[0]] + [(x, None, "articulation") for x in G.bridges(_top(r))[1]], "a string, b string, kind string"))
-add("connectivity", lambda r: r.spark.createDataFrame([(G.connectivity(_top(r)),)], "edge_connectivity int"))
+add("betweenness", lambda r: G.path_measures(simple(r), r.nodes.count()).select("node_id", "betweenness"))
+add("closeness", lambda r: G.path_measures(simple(r), r.nodes.count()).select("node_id", "closeness"))
+add("diameter_radius", lambda r: G.path_measures(simple(r), r.nodes.count()).agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"), F.max("reached").alias("largest")))
+add("bridges", lambda r: G.cut_edges_and_nodes(simple(r)))
+add("connectivity", lambda r: r.spark.createDataFrame([(G.connectivity(simple(r)),)], "edge_connectivity int"))
 add("communities_detect", lambda r: G.communities(simple(r)))
-add("communities_filter", lambda r: G.filter_communities(simple(r), G.communities(simple(r)), floor=0.05))
-add("communities_hierarchical", lambda r: G.hierarchical_communities(simple(r), (0.5, 2.0)))
+add("communities_filter", lambda r: G.filter_communities(simple(r), G.communities(simple(r))))
+add("communities_hierarchical", lambda r: G.hierarchical_communities(simple(r)))
 add("community_profile", lambda r: G.communities(simple(r)).join(r.nodes.select("node_id", "node_type", "title"), "node_id").join(G.degrees(simple(r)).select("node_id", "degree"), "node_id").groupBy("community").agg(F.count("*").alias("n"), F.mode("node_type", True).alias("dominant"), F.max_by("title", F.struct("degree", "node_id")).alias("central")))
 
 
@@ -238,8 +237,7 @@ add("precedent_search", lambda r: S.hybrid(_hybrid_items(r).join(r.chunks.select
 same("entity_chunks", "SELECT c.chunk_id, e.entity_id FROM chunks c JOIN entities e ON e.document_id = c.document_id WHERE e.entity_type = 'COURT' AND e.confidence >= 0.9 ORDER BY c.chunk_id, e.entity_id LIMIT 200")
 same("citation_network", "SELECT c.citing, c.cited, d.title FROM cites c JOIN docs d ON d.document_id = c.cited WHERE d.document_type IN ('opinion', 'case_law')")
 _chain = "SELECT a.citing AS first_id, a.cited AS second_id, b.cited AS third_id FROM cites a JOIN cites b ON b.citing = a.cited"
-# all chains; the SQL beside it still takes those of the first ids only
-add("precedent_chain", lambda r: r.sql(_chain), "SELECT a.citing AS first_id, a.cited AS second_id, b.cited AS third_id FROM cites a JOIN cites b ON b.citing = a.cited WHERE a.citing < 'doc_4'")
+same("precedent_chain", _chain)
 same("contradictions", "SELECT e.edge_id, s.title AS source_title, t.title AS target_title FROM edges e JOIN nodes s ON s.node_id = e.source JOIN nodes t ON t.node_id = e.target WHERE e.relationship_type IN ('OVERRULES', 'DISTINGUISHES', 'CONFLICTS_WITH')")
 add("similar_chunks", lambda r: R.similar_topics(_vectors(r).where("label = 1").select(F.col("id").alias("chunk_id"), F.col("vector").alias("embedding")), 0.3).select("source_chunk_id", "target_chunk_id"), f"SELECT source_chunk_id, target_chunk_id FROM ({_self} AND a.label = 1) WHERE s >= 0.3")
 same("rag_confidence", "SELECT document_id, round(0.3 * coalesce(chunk_count, 0) / 50.0 + 0.5 * least(1.0, coalesce(entity_count, 0) / 60.0) + 0.16, 6) AS confidence FROM docs")

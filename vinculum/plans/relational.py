@@ -36,7 +36,7 @@ add("sql_passthrough", lambda r: (r.docs.createOrReplaceTempView("docs_now"), st
 add("sql_parameterized", lambda r: (r.docs.createOrReplaceTempView("docs_now"), store.sql(r.spark, "SELECT document_id, title FROM docs_now WHERE document_type = :kind AND chunk_count >= :least", {"kind": "motion", "least": 5}))[1], "SELECT document_id, title FROM docs WHERE document_type = 'motion' AND chunk_count >= 5")
 add("catalog_columns", lambda r: store.catalog_columns(r.spark, {"nodes": r.nodes, "edges": r.edges}))
 add("scan_json", lambda r: r.docs.select(F.from_json("metadata", "year string, page_count int").alias("m")).groupBy("m.year").agg(F.sum("m.page_count").alias("pages")), "SELECT json_extract_string(metadata, '$.year') AS year, CAST(sum(CAST(json_extract_string(metadata, '$.page_count') AS INTEGER)) AS BIGINT) AS pages FROM docs GROUP BY 1")
-add("list_files", lambda r: store.list_files(r.spark, f"{r.sf_dir}/region.parquet").select(F.count("*").over(Window.partitionBy()).alias("n_files")).distinct())
+add("list_files", lambda r: store.list_files(r.spark, r.sf_dir, 1000).agg(F.count("*").alias("n_files")))
 same("entities_from_nodes_view", "SELECT node_id, title AS entity_text, {j} AS entity_type, {i} AS importance FROM nodes WHERE node_type = 'entity'", j="get_json_object(metadata, '$.entity_type') || json_extract_string(metadata, '$.entity_type')", i="get_json_object(metadata, '$.importance') || json_extract_string(metadata, '$.importance')")
 add("table_row_counts", lambda r: store.row_counts({"nodes": r.nodes, "edges": r.edges, "chunks": r.chunks, "docs": r.docs}), "SELECT 'nodes' AS table_name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'docs', count(*) FROM docs")
 same("pending_embeddings", "SELECT c.chunk_id, coalesce(c.content, '') AS text FROM chunks c LEFT JOIN (SELECT DISTINCT source_id FROM graph_embeddings WHERE vector IS NOT NULL) e ON e.source_id = c.chunk_id WHERE e.source_id IS NULL")
@@ -191,7 +191,7 @@ same("events_windowed", "SELECT event_type, count(*) AS n, round(sum(value), 2)
 
 # --- resolution in sets
 add("group_by_parent_type", lambda r: r.entities.groupBy(ER.parent_type(F.col("entity_type")).alias("grp")).agg(F.count("*").alias("n")), "SELECT CASE WHEN entity_type IN ('INDIVIDUAL', 'CORPORATION', 'ORGANIZATION', 'GOVERNMENT') THEN 'PARTY' ELSE entity_type END AS grp, count(*) AS n FROM entities GROUP BY 1")
-add("cross_document_entities", lambda r: ER.cross_document(r.entities.where("entity_type = 'ORGANIZATION' and document_id is not null").select("entity_id", "entity_text", F.array("document_id").alias("document_ids"))), r"WITH o AS (SELECT entity_id, document_id, trim(regexp_replace(regexp_replace(trim(lower(entity_text)), '\b(inc|llc|corp|co|ltd)\b\.?', '', 'g'), '\s+', ' ', 'g')) AS form FROM entities WHERE entity_type = 'ORGANIZATION' AND document_id IS NOT NULL), g AS (SELECT form, list_sort(list(DISTINCT document_id)) AS document_ids FROM o GROUP BY form HAVING count(DISTINCT document_id) > 1) SELECT entity_id, document_ids FROM o JOIN g ON g.form = o.form")
+add("cross_document_entities", lambda r: ER.cross_document(r.entities.where("document_id is not null").select("entity_id", "entity_text", F.array("document_id").alias("document_ids"))), r"WITH o AS (SELECT entity_id, document_id, trim(regexp_replace(regexp_replace(trim(lower(entity_text)), '\b(inc|llc|corp|co|ltd)\b\.?', '', 'g'), '\s+', ' ', 'g')) AS form FROM entities WHERE document_id IS NOT NULL), g AS (SELECT form, list_sort(list(DISTINCT document_id)) AS document_ids FROM o GROUP BY form HAVING count(DISTINCT document_id) > 1) SELECT entity_id, document_ids FROM o JOIN g ON g.form = o.form")
 add("dedup_exact", lambda r: ER.first_seen(r.entities.select("entity_id", "entity_type", F.lower("entity_text").alias("name")), ["entity_type", "name"], ["entity_id"]), "SELECT min(entity_id) AS entity_id, entity_type, lower(entity_text) AS name FROM entities GROUP BY 2, 3")
 
 QUERIES, ORACLE = P.queries, P.oracle
