@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from vinculum.constants import BOOSTED_TYPES, DEFAULT_THRESHOLD, THRESHOLDS, TYPE_GROUPS
 from vinculum.functions.columns import canonical_form
-from vinculum.functions.similarity import ngrams, ratio, tfidf_matrix, token_set
+from vinculum.functions.similarity import fuzzy_ratio, ngrams, ratio, tfidf_matrix, token_set, token_set_ratio
 from vinculum.operators.components import connected_components
+from vinculum.operators.skew import salted_join
 from vinculum.session import materialise
 
 #: Texts of a block. Every block of a type group meets every other one of it, so the size changes no result.
@@ -301,6 +302,25 @@ def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def near_matches(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
+    """new and old (entity_id, entity_text, entity_type) to the pairs of one type (entity_id, match_id, similarity).
+
+    A record of old is found under the two words of its canonical form that are rarest there, a new one looks under every
+    word of its own; hot words are salted. Similarity is the mean of the Indel and the token set ratio, 0 to 1.
+    """
+    word = lambda: F.explode(F.array_distinct(F.filter(F.split(canonical_form(F.col("entity_text")), "[^\\p{L}\\p{N}]+"), lambda w: w != "")))
+    keyed = lambda df, c: df.select(F.col("entity_id").alias(c), "entity_type", word().alias("w")).select(c, F.concat_ws("|", "entity_type", "w").alias("key"))
+    found = keyed(old, "match_id")
+    often = found.groupBy("key").agg(F.count("*").alias("n"))
+    rare = salted_join(found, often, "key", F.col("match_id"), "inner").groupBy("match_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "key"))), 1, 2).alias("r"))
+    rare = rare.select("match_id", F.explode("r").alias("x")).select("match_id", F.col("x.key").alias("key"))
+    pairs = salted_join(keyed(new, "entity_id"), rare, "key", F.col("entity_id"), "inner").select("entity_id", "match_id").distinct()
+    text = lambda df, c, t: df.select(F.col("entity_id").alias(c), F.lower("entity_text").alias(t))
+    met = pairs.join(text(new, "entity_id", "s"), "entity_id").join(text(old, "match_id", "t"), "match_id")
+    s = (fuzzy_ratio(F.col("s"), F.col("t")) + token_set_ratio(F.col("s"), F.col("t"))) / 200
+    return met.select("entity_id", "match_id", s.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def upsert_actions(new: DataFrame, old: DataFrame, near: DataFrame) -> DataFrame:
     """new (entity_id), old (entity_id), near (entity_id, match_id, similarity) to (entity_id, target_id, action)."""
     best = near.groupBy("entity_id").agg(F.max_by("match_id", F.struct("similarity", "match_id")).alias("match_id"))

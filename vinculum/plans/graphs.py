@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vinculum.constants import TYPE_IMPORTANCE
 from vinculum.functions import columns as C
 from vinculum.functions.similarity import fuzzy_ratio, tfidf_matrix, token_set_ratio
+from vinculum.operators import build as B
 from vinculum.operators import chunks as CH
 from vinculum.operators import components as CC
 from vinculum.operators import graph as G
@@ -79,6 +80,24 @@ _up = f"WITH e AS (SELECT {_key} AS k, {_form} AS f, source_schema AS s FROM ent
 add("upsert_actions", _upsert, _up + " SELECT * FROM a")
 add("batch_upsert_counts", lambda r: _upsert(r).groupBy("action").agg(F.count("*").alias("n")), _up + " SELECT action, count(*) AS n FROM a GROUP BY action")
 
+
+
+def _upserted(r: Relations, s: str):
+    return r.entities.where(f"source_schema = '{s}'").select("entity_text", "entity_type", "confidence", F.array_compact(F.array("document_id")).alias("document_ids"), F.create_map(F.lit("schema"), F.col("source_schema")).alias("attributes"))
+
+
+add("entity_upsert", lambda r: B.upsert_entities(_upserted(r, "client"), _upserted(r, "law")).select("entity_id", "entity_type", "confidence", F.size("document_ids").alias("n_documents"), F.col("attributes")["schema"].alias("schema"), "merge_count", "action"))
+
+
+def _built(r: Relations):
+    pairs = R.pairs_within(r.entities.where("document_id is not null"), "document_id", "entity_id")
+    relations = pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit("CO_OCCURS").alias("relationship_type"), F.lit(0.7).alias("confidence"))
+    return B.build(resolvable(r), relations)
+
+
+add("graph_build", lambda r: _built(r).profile)
+add("graph_build_quality", lambda r: _built(r).quality)
+
 # --- relations
 add("relation_index", lambda r: r.edges.select("source", "target", "relationship_type").unionByName(r.edges.where("relationship_type like 'A%'").select(F.col("target").alias("source"), F.col("source").alias("target"), "relationship_type")).distinct(), "SELECT source, target, relationship_type FROM edges UNION SELECT target, source, relationship_type FROM edges WHERE relationship_type LIKE 'A%'")
 _m = "WITH m AS (SELECT DISTINCT document_id, lower(trim(entity_text)) AS e, entity_type AS t FROM entities WHERE document_id IS NOT NULL)"
