@@ -80,8 +80,9 @@ class Relations:
         if name.startswith("_"):
             raise AttributeError(name)
         if name in KEYS:  # one row per key; columns that nobody asks for are pruned below it
-            register(self.spark, self.sf_dir, TABLES)
-            return self.spark.sql(VIEWS[name].replace("SELECT DISTINCT", "SELECT")).dropDuplicates([KEYS[name]])
+            text = VIEWS[name].replace("SELECT DISTINCT", "SELECT")
+            register(self.spark, self.sf_dir, [text.rsplit(" ", 1)[-1]])
+            return self.spark.sql(text).dropDuplicates([KEYS[name]])
         return self.sql(f"SELECT * FROM {name}")
 
 
