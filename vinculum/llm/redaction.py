@@ -240,6 +240,8 @@ def label(text: str, cand: tuple[int, int, int, int], f: list[float]) -> int | N
             return 0 if f[31] and f[32] or f[28] > 1 and not known or f[28] + f[21] < 2 else 1 if known > 1 and not other else None
         if f[23] or f[2] and not f[9]:
             return 1
+        if cand[3] == 0 and f[28] == 2 and not f[21] and not f[19] and f[20] > 1 and f[11]:
+            return 0  # the given name stands second, and what follows is its surname
         if f[3] and cand[3] == 2 and not f[9] and not f[11]:
             return 1 if not re.search(r"\d[^.\n]{0,40}$", text[max(0, cand[1] - 40) : cand[1]]) else 0
         if f[9] or f[24] or f[22] and f[21] and f[12]:
@@ -279,7 +281,7 @@ class Model:
             x, y = x[order], y[order]
             # rules speak by context; trees that see it on some rows only learn what the spans look like elsewhere
             hide = np.random.default_rng(seed + 1).random(len(y)) < 0.5
-            x[np.ix_(hide, [2, 23, 25, 26])] = 0
+            x[np.ix_(hide, [2, 14, 23, 25, 26])] = 0
             cut = max(1, len(y) * 3 // 4)
             self.boosted[kind] = Boosted().fit(x[:cut], y[:cut])
             if cut < len(y):
